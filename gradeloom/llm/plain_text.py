@@ -82,9 +82,8 @@ def _macros() -> tuple[list[str], str]:
               WHEN regexp_matches(w, {other}) AND regexp_matches(w, '\\p{{Latin}}') THEN mixed_word(w)
               WHEN NOT other_text AND regexp_matches(w, {strict}) THEN translate(w, {foreign}, {latin})
               ELSE w END""",
-        f"""CREATE MACRO words(t) AS CASE WHEN regexp_matches(t, {other}) THEN
-              array_to_string(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: plain_word(w, others_own(t))), '') ELSE t END""",
-        "CREATE MACRO plain_text(t) AS nfc_normalize(words(shapes(t)))",
+        f"""CREATE MACRO words(t, other_text) AS CASE WHEN regexp_matches(t, {other}) THEN
+              array_to_string(list_transform(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: plain_word(w, other_text)), '') ELSE t END""",
     ], alike_strict
 
 
@@ -95,8 +94,8 @@ def _connection():
     macros, alike_strict = _macros()
     # whether a text has a word of the other alphabet itself: one without Latin letters and with a letter
     # that looks like none of the strict look-alikes, or three and more capitals where no Latin letter is small
-    con.execute(f"CREATE MACRO own_word(w, t) AS regexp_matches(w, '^[\\p{{Cyrillic}}\\p{{Greek}}\\p{{M}}]+$') AND (regexp_replace(w, {alike_strict}, '', 'g') <> '' OR (length(w) >= 3 AND w = upper(w) AND NOT regexp_matches(t, '[a-z]')))")
-    con.execute("CREATE MACRO others_own(t) AS len(list_filter(regexp_extract_all(t, '[\\p{L}\\p{M}]+'), lambda w: own_word(w, t))) > 0")
+    con.execute(f"CREATE MACRO own_word(w, no_small) AS regexp_matches(w, '^[\\p{{Cyrillic}}\\p{{Greek}}\\p{{M}}]+$') AND (regexp_replace(w, {alike_strict}, '', 'g') <> '' OR (no_small AND length(w) >= 3 AND w = upper(w)))")
+    con.execute("CREATE MACRO others_own(t, no_small) AS len(list_filter(regexp_extract_all(t, '[\\p{Cyrillic}\\p{Greek}\\p{Latin}\\p{M}]+'), lambda w: own_word(w, no_small))) > 0")
     con.execute(f"SET VARIABLE compatibility = map([{','.join(map(_quote, _MANY))}], [{','.join(map(_quote, _MANY.values()))}])")
     for m in macros:
         con.execute(m)
@@ -110,7 +109,15 @@ def plain_columns(records: DataFrame, key: str, columns: Sequence[str]) -> DataF
     """(key, each column in its plain form, each column + "_stored_plain" BOOLEAN)."""
     kept = records.select(key, *(F.col(c).cast("string").alias(c) for c in columns))
     schema = T.StructType([kept.schema[key], *(T.StructField(c, T.StringType()) for c in columns), *(T.StructField(f"{c}_stored_plain", T.BooleanType()) for c in columns)])
-    sql = f'SELECT "{key}", {", ".join(f"p{i}" for i in range(len(columns)))}, {", ".join(f"p{i} IS NOT DISTINCT FROM c{i}" for i in range(len(columns)))} FROM (SELECT "{key}", ' + ", ".join(f'"{c}" AS c{i}, plain_text("{c}") AS p{i}' for i, c in enumerate(columns)) + " FROM batch)"
+    n = range(len(columns))
+    # in steps, so that each text's flags are found once and not once for each of its words
+    sql = (
+        f'WITH shaped AS (SELECT "{key}", ' + ", ".join(f'"{columns[i]}" AS c{i}, shapes("{columns[i]}") AS s{i}' for i in n) + " FROM batch), "
+        "cased AS (SELECT *, " + ", ".join(f"NOT regexp_matches(s{i}, '[a-z]') AS b{i}" for i in n) + " FROM shaped), "
+        "owned AS (SELECT *, " + ", ".join(f"others_own(s{i}, b{i}) AS o{i}" for i in n) + " FROM cased), "
+        "plain AS (SELECT *, " + ", ".join(f"nfc_normalize(words(s{i}, o{i})) AS p{i}" for i in n) + " FROM owned) "
+        f'SELECT "{key}", ' + ", ".join([f"p{i}" for i in n] + [f"p{i} IS NOT DISTINCT FROM c{i}" for i in n]) + " FROM plain"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _CON
