@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gradeloom.llm.copies import copy_groups, further_copies
 from gradeloom.llm.plain_text import not_plain, plain_columns
+from gradeloom.llm.repetition import repetition
 from gradeloom.sources.tables import table
 
 
@@ -18,5 +20,55 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("row_id", "answer", "expected_answer", F.col("answer").eqNullSafe(F.col("expected_answer")).alias("same_text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain)}
-ORACLES: dict[str, str] = {}
+TEXTS = ["question", "answer", "expected_answer", "context"]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return further_copies(table(spark, d, "sample_evaluations"), "row_id", TEXTS)
+
+
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """One record of each group of copies, with their number."""
+    groups = copy_groups(table(spark, d, "sample_evaluations"), "row_id", TEXTS)
+    return groups.where("row_id = first_id").select("row_id", "n_copies")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition(table(spark, d, "documents"), least=0.3).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of every document."""
+    return repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "share")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p4_found, p4_records, p9_found, p9_shares)}
+
+_FIGURE = {".": 1, ",": 2}
+
+
+def _folded(c: str) -> str:
+    """SQL of a text without whitespace, case and punctuation, the signs of figures kept as control characters."""
+    sql = f"replace(lower(coalesce({c}, '')), '%', chr(4))"
+    sql = f"regexp_replace({sql}, '(^|[\\s(])-([0-9])', '\\1' || chr(3) || '\\2', 'g')"
+    for sign, code in _FIGURE.items():
+        for _ in range(2):
+            sql = f"regexp_replace({sql}, '([0-9])[{sign}]([0-9])', '\\1' || chr({code}) || '\\2', 'g')"
+    return f"replace(regexp_replace({sql}, '[\\s\\p{{P}}\\p{{Z}}]+', '', 'g'), 'ß', 'ss')"
+
+
+_FOLDED = ", ".join(map(_folded, TEXTS))
+_GROUPS = f"SELECT row_id, min(row_id) OVER g AS first_id, count(*) OVER g AS n_copies FROM (SELECT row_id, list_sort([{_FOLDED}]) AS k FROM sample_evaluations) WINDOW g AS (PARTITION BY k)"
+_SHARES = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, run) AS first FROM g) WHERE i > first),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM later, range(0, 8) AS t(k) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_repeated, coalesce(n, 0) / greatest(len(ws), 1) AS share FROM w LEFT JOIN covered USING (doc_id)
+"""
+ORACLES: dict[str, str] = {
+    "p4_found": f"SELECT first_id AS row_id_a, row_id AS row_id_b FROM ({_GROUPS}) WHERE row_id <> first_id",
+    "p4_records": f"SELECT row_id, n_copies FROM ({_GROUPS}) WHERE row_id = first_id",
+    "p9_found": f"SELECT doc_id FROM ({_SHARES}) WHERE share >= 0.3",
+    "p9_shares": _SHARES,
+}
