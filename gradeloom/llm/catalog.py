@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm.copies import copy_groups, further_copies
+from gradeloom.llm.leakage import leaks
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import repetition
 from gradeloom.sources.tables import table
@@ -33,6 +34,16 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("row_id = first_id").select("row_id", "n_copies")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "benchmark_items"), table(spark, d, "documents")).select("item_id", "doc_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked: into how many documents, and at most to what share."""
+    found = leaks(table(spark, d, "benchmark_items"), table(spark, d, "documents"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("share").alias("most"), F.max("longest_phrase").alias("longest_phrase"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents"), least=0.3).select("doc_id")
 
@@ -42,7 +53,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p4_found, p4_records, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p4_found, p4_records, p7_found, p7_items, p9_found, p9_shares)}
 
 _FIGURE = {".": 1, ",": 2}
 
