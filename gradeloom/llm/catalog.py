@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom.llm.copies import copy_groups, further_copies
 from gradeloom.llm.leakage import leaks
+from gradeloom.llm.mixing import mixture, shares
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import repetition
 from gradeloom.sources.tables import table
@@ -44,6 +45,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("share").alias("most"), F.max("longest_phrase").alias("longest_phrase"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    targets = table(spark, d, "mix_targets")
+    return shares(mixture(table(spark, d, "documents"), targets), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents"), least=0.3).select("doc_id")
 
@@ -53,7 +64,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p4_found, p4_records, p7_found, p7_items, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p4_found, p4_records, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shares)}
 
 _FIGURE = {".": 1, ",": 2}
 
