@@ -9,6 +9,7 @@ from gradeloom.llm.leakage import leaks
 from gradeloom.llm.mixing import mixture, shares
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import repetition
+from gradeloom.llm.truncation import cut_shares, cut_texts, storage_limits
 from gradeloom.sources.tables import table
 
 
@@ -22,6 +23,20 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("row_id", "answer", "expected_answer", F.col("answer").eqNullSafe(F.col("expected_answer")).alias("same_text"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts(table(spark, d, "sample_evaluations"))
+
+
+def p2_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut answers of each source."""
+    return cut_shares(table(spark, d, "sample_evaluations"))
+
+
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The storage limits that the lengths show."""
+    return storage_limits(table(spark, d, "sample_evaluations"))
+
+
 TEXTS = ["question", "answer", "expected_answer", "context"]
 
 
@@ -64,7 +79,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p4_found, p4_records, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_sources, p2_limits, p4_found, p4_records, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shares)}
 
 _FIGURE = {".": 1, ",": 2}
 
