@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeloom.llm.copies import copy_groups, further_copies
 from gradeloom.llm.leakage import leaks
 from gradeloom.llm.mixing import mixture, shares
+from gradeloom.llm.pairs import defects
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import repetition
 from gradeloom.llm.truncation import cut_shares, cut_texts, storage_limits
@@ -50,6 +51,15 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("row_id = first_id").select("row_id", "n_copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(table(spark, d, "sample_evaluations"))
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs have each kind of defect."""
+    return defects(table(spark, d, "sample_evaluations")).groupBy("defect").agg(F.count("*").alias("n_pairs"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "benchmark_items"), table(spark, d, "documents")).select("item_id", "doc_id")
 
@@ -79,7 +89,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", "share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_sources, p2_limits, p4_found, p4_records, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_sources, p2_limits, p4_found, p4_records, p5_found, p5_kinds, p7_found, p7_items, p8_mixture, p8_shares, p9_found, p9_shares)}
 
 _FIGURE = {".": 1, ",": 2}
 
