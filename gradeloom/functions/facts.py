@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom import config
-from gradeloom.functions.text import fold_sql, in_list, quoted
+from gradeloom.functions.plan import computed
+from gradeloom.functions.text import fold_sql, in_list, let, quoted
 
 KINDS = ("durations", "percentages", "temperatures", "storage", "dates", "numbers")
 
@@ -108,6 +109,20 @@ _KEYS = {
     "year": "concat('year ', x.s)",
     "number": f"CAST({parsed_number('x.s')} AS STRING)",
 }
+#: What a text must have for a pattern to match anywhere in it; far cheaper than the pattern. low is the text in lower case.
+_ONLY_IF = {
+    "iso": "said RLIKE '(?:19|20)[0-9][0-9][-/]'",
+    "month_first": f"low RLIKE '(?:{_MONTH})' AND said RLIKE '(?:19|20)[0-9][0-9]'",
+    "day_first": f"low RLIKE '(?:{_MONTH})' AND said RLIKE '(?:19|20)[0-9][0-9]'",
+    "duration": " OR ".join(f"contains(low, '{u}')" for u in config.DURATIONS),
+    "percent": "contains(low, '%') OR contains(low, 'percent')",
+    "temperature": "contains(low, '°') OR contains(low, 'celsius') OR contains(low, 'fahrenheit')",
+    "fraction": "contains(low, 'half') OR contains(low, 'halves') OR contains(low, 'quarter') OR contains(low, 'fifth')",
+    "storage": "contains(low, 'byte') OR contains(low, 'kb') OR contains(low, 'mb') OR contains(low, 'gb')",
+    "year": "said RLIKE '(?:19|20)[0-9][0-9]'",
+    "number": f"said RLIKE '[0-9]' OR low RLIKE '(?:{_NUMBER_WORD})'",
+}
+_SPANS = "array<struct<b:int,e:int,s:string>>"
 _TURNS = ("iso", "month_first", "day_first", "duration", "percent", "temperature", "fraction", "storage", "year", "number")
 _ENTITY_NAME = f"regexp_replace(trim(regexp_replace({fold_sql('e')}, \"(?:'s|’s)$\", '')), '^(?:the|a|an)\\\\s+', '')"
 
@@ -117,30 +132,34 @@ def canonical_entity(e: str) -> str:
     return f"coalesce({_map(config.SAME_ENTITY)}[{name}], {name})"
 
 
-def with_facts(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df and a struct of the facts of a text column: the six kinds, and the entities."""
-    p = f"__{name}_"
-    known = set(df.columns)
-    out = df.withColumn(f"{p}t", F.expr(f"coalesce(`{text}`, '')"))
-    out = out.withColumns({f"{p}{c}_all": F.expr(spans(f"{p}t", c)) for c in _TURNS})
-    taken = None
-    for c in _TURNS:
-        all_found = f"{p}{c}_all"
-        own = all_found if c == "duration" or taken is None else _free(all_found, taken)
-        out = out.withColumn(f"{p}{c}", F.expr(own))
-        if c != "number":
-            out = out.withColumn(f"{p}taken_{c}", F.expr(f"{p}{c}" if taken is None else f"concat({taken}, {p}{c})"))
-            taken = f"{p}taken_{c}"
-    keyed = {c: _keyed(f"{p}{c}", _KEYS[c]) for c in _TURNS}
-    entity = f"transform(regexp_extract_all({p}t, {quoted(PATTERNS['entity'])}, 0), e -> struct({canonical_entity('e')} AS k, e AS s))"
+def facts_sql(text: str) -> str:
+    """A struct of the facts of a text: the six kinds, and the entities."""
+    keyed = {c: _keyed(f"own_{c}.found", _KEYS[c]) for c in _TURNS}
+    entity = f"transform(regexp_extract_all(said, {quoted(PATTERNS['entity'])}, 0), e -> struct({canonical_entity('e')} AS k, e AS s))"
     excluded = in_list([*config.NO_ENTITIES, *config.NUMBER_WORDS])
     fields = {
         "durations": keyed["duration"], "percentages": f"concat({keyed['percent']}, {keyed['fraction']})", "temperatures": keyed["temperature"],
         "storage": keyed["storage"], "dates": f"concat({keyed['iso']}, {keyed['month_first']}, {keyed['day_first']}, {keyed['year']})",
         "numbers": keyed["number"], "entities": f"filter({entity}, x -> x.k NOT IN {excluded} AND length(x.k) <> 1)",
     }
-    struct = ", ".join(f"{_first_of_each(sql)} AS {k}" for k, sql in fields.items())
-    return out.withColumn(name, F.expr(f"struct({struct})")).select(*[c for c in df.columns if c in known and c != name], name)
+    body = "struct(" + ", ".join(f"{_first_of_each(sql)} AS {k}" for k, sql in fields.items()) + ")"
+    # each class in turn: what it finds where nothing is taken, and what is taken after it
+    before = dict(zip(_TURNS[1:], _TURNS))
+    for c in reversed(_TURNS):
+        found = f"IF({_ONLY_IF[c]}, {spans('said', c)}, CAST(array() AS {_SPANS}))"
+        if c in before:
+            taken = f"own_{before[c]}.taken"
+            own = "here" if c == "duration" else _free("here", taken)
+            step = let("here", found, let("kept", own, f"struct(kept AS found, concat({taken}, kept) AS taken)"))
+        else:
+            step = let("here", found, "struct(here AS found, here AS taken)")
+        body = let(f"own_{c}", step, body)
+    return let("said", f"coalesce({text}, '')", let("low", "lower(said)", body))
+
+
+def with_facts(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df and a struct of the facts of a text column."""
+    return computed(df, {name: F.expr(facts_sql(f"`{text}`"))})
 
 
 def content_sql(t: str) -> str:

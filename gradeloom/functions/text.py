@@ -19,6 +19,11 @@ def in_list(words) -> str:
     return "(" + ", ".join(map(quoted, words)) + ")"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """body with name standing for value, which is computed once and which no rewriting takes apart."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def strip_sql(c: str) -> str:
     """c without white space of any kind at its ends."""
     return f"regexp_replace({c}, {quoted(f'^{SPACE}+|{SPACE}+$')}, '')"

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom import config
-from gradeloom.functions.facts import KINDS, acronym_sql, alias_sql, content_sql, with_facts
-from gradeloom.functions.text import fold_sql, quoted
+from gradeloom.functions.facts import KINDS, acronym_sql, alias_sql, content_sql, facts_sql
+from gradeloom.functions.plan import computed
+from gradeloom.functions.text import fold_sql, let, quoted
 
 _KIND_NAMES = {"durations": "duration", "percentages": "percentage", "temperatures": "temperature", "storage": "storage", "dates": "date", "numbers": "number"}
 CONFLICT = "struct<kind:string,answer_value:string,reference_value:string,source:string>"
@@ -69,45 +70,43 @@ def _entities(p: str, a: str, r: str, source: str) -> str:
     return f"CASE WHEN NOT {p}acronym AND size({mine}) > 0 AND size({others}) > 0 AND {near} THEN {_conflict('named entity', f'{mine}[0].s', f'{others}[0].s', source)} END"
 
 
-def with_comparison(df: DataFrame, answer: str, answer_facts: str, reference: str, reference_facts: str, source: str, name: str) -> DataFrame:
-    """df and a struct of the conflicts in their order, whether anything agrees, and whether a short reference is met."""
-    p, a, r = f"__{name}_", answer_facts, reference_facts
-    columns = df.columns
-    out = df.withColumns({f"{p}a": F.expr(f"coalesce(`{answer}`, '')"), f"{p}r": F.expr(f"coalesce(`{reference}`, '')")})
-    possessive = quoted(r"(?:'s|’s)\b")
-    not_ = quoted(r"n['’]t\b")
-    out = out.withColumns({
-        f"{p}a_content": F.expr(content_sql(f"{p}a")), f"{p}r_content": F.expr(content_sql(f"{p}r")),
-        f"{p}a_plain": F.expr(f"regexp_replace({fold_sql(f'{p}a')}, {possessive}, '')"), f"{p}r_plain": F.expr(f"regexp_replace({fold_sql(f'{p}r')}, {possessive}, '')"),
-        f"{p}a_not": F.expr(f"regexp_replace({fold_sql(f'{p}a')}, {not_}, ' not')"), f"{p}r_not": F.expr(f"regexp_replace({fold_sql(f'{p}r')}, {not_}, ' not')"),
-        f"{p}acronym": F.expr(acronym_sql(f"{p}a", f"{p}r")),
-        f"{p}a_shares": F.expr(f"filter({a}.numbers, x -> CAST(x.k AS DOUBLE) BETWEEN 0D AND 1D)"),
-        f"{p}r_shares": F.expr(f"filter({r}.numbers, x -> CAST(x.k AS DOUBLE) BETWEEN 0D AND 1D)"),
-    })
+def comparison_sql(answer: str, a: str, reference: str, r: str, source: str) -> str:
+    """A struct of the conflicts in their order, whether anything agrees, and whether a short reference is met.
+
+    a and r are the facts of the answer and of the reference.
+    """
+    p = "read."
+    possessive, not_ = quoted(r"(?:'s|’s)\b"), quoted(r"n['’]t\b")
     pairs = [_values(_KIND_NAMES[k], f"{a}.{k}", f"{r}.{k}", source) for k in KINDS]
     pairs += [_shares(f"{a}.percentages", f"{p}r_shares", source), _shares(f"{p}a_shares", f"{r}.percentages", source)]
     conflicts = [c for c, _ in pairs] + [_polarity(f"{p}a_not", f"{p}r_not", source), _entities(p, a, r, source)]
-    out = out.withColumns({f"{p}c{i}": F.expr(c) for i, c in enumerate(conflicts)})
     agree = " OR ".join(e for _, e in pairs)
     agree += f" OR arrays_overlap({_keys(f'{a}.entities')}, {_keys(f'{r}.entities')}) OR {p}acronym OR {alias_sql(f'{p}a', f'{p}r')}"
-    out = out.withColumns({
-        f"{p}conflicts": F.expr(f"CAST(filter(array({', '.join(f'{p}c{i}' for i in range(len(conflicts)))}), x -> x IS NOT NULL) AS array<{CONFLICT}>)"),
-        f"{p}agrees": F.expr(f"coalesce({agree}, false)"),
-    })
     short_words = quoted(r"\b[\p{L}\p{N}_%°'-]+\b")
     stated = " OR ".join(f"size({r}.{k}) > 0" for k in KINDS)
     held = " AND ".join(f"size(array_except({_keys(f'{r}.{k}')}, {_keys(f'{a}.{k}')})) = 0" for k in KINDS)
-    short = f"""`{reference}` IS NOT NULL AND size(regexp_extract_all({fold_sql(f'{p}r')}, {short_words}, 0)) <= 8 AND size({p}r_content) <= 5 AND size({p}conflicts) = 0
-        AND ((({stated}) AND {held}) OR {p}agrees OR (size({p}r_content) > 0 AND size(array_except({p}r_content, {p}a_content)) = 0))"""
-    compared = f"`{reference}` IS NOT NULL"
-    out = out.withColumn(name, F.expr(f"struct(IF({compared}, {p}conflicts, CAST(array() AS array<{CONFLICT}>)) AS conflicts, {compared} AND {p}agrees AS agrees, {short} AS short_value_met)"))
-    return out.select(*[c for c in columns if c != name], name)
+    short = f"""{reference} IS NOT NULL AND size(regexp_extract_all({fold_sql(f'{p}r')}, {short_words}, 0)) <= 8 AND size({p}r_content) <= 5 AND size(met.conflicts) = 0
+        AND ((({stated}) AND {held}) OR met.agrees OR (size({p}r_content) > 0 AND size(array_except({p}r_content, {p}a_content)) = 0))"""
+    read = {
+        "a": "said.a", "r": "said.r", "a_content": content_sql("said.a"), "r_content": content_sql("said.r"),
+        "a_plain": f"regexp_replace({fold_sql('said.a')}, {possessive}, '')", "r_plain": f"regexp_replace({fold_sql('said.r')}, {possessive}, '')",
+        "a_not": f"regexp_replace({fold_sql('said.a')}, {not_}, ' not')", "r_not": f"regexp_replace({fold_sql('said.r')}, {not_}, ' not')",
+        "acronym": acronym_sql("said.a", "said.r"),
+        "a_shares": f"filter({a}.numbers, x -> CAST(x.k AS DOUBLE) BETWEEN 0D AND 1D)", "r_shares": f"filter({r}.numbers, x -> CAST(x.k AS DOUBLE) BETWEEN 0D AND 1D)",
+    }
+    found = f"struct(CAST(filter(array({', '.join(conflicts)}), x -> x IS NOT NULL) AS array<{CONFLICT}>) AS conflicts, coalesce({agree}, false) AS agrees)"
+    body = let("met", found, f"struct(met.conflicts AS conflicts, met.agrees AS agrees, coalesce({short}, false) AS short_value_met)")
+    body = let("read", "struct(" + ", ".join(f"{sql} AS {k}" for k, sql in read.items()) + ")", body)
+    compared = let("said", f"struct(coalesce({answer}, '') AS a, {reference} AS r)", body)
+    nothing = f"struct(CAST(array() AS array<{CONFLICT}>) AS conflicts, false AS agrees, false AS short_value_met)"
+    return f"IF({reference} IS NULL, {nothing}, {compared})"
 
 
 def with_comparisons(df: DataFrame, answer: str = "answer", expected: str = "expected_answer", context: str = "context") -> DataFrame:
     """df and the comparisons with both references, the answer's facts extracted once."""
-    out = with_facts(df, answer, "answer_facts")
-    out = with_facts(out, expected, "expected_facts")
-    out = with_facts(out, context, "context_facts")
-    out = with_comparison(out, answer, "answer_facts", expected, "expected_facts", "expected answer", "against_expected")
-    return with_comparison(out, answer, "answer_facts", context, "context_facts", "context", "against_context")
+    texts = {"answer_facts": answer, "expected_facts": expected, "context_facts": context}
+    out = computed(df, {name: F.expr(facts_sql(f"`{text}`")) for name, text in texts.items()})
+    return computed(out, {
+        "against_expected": F.expr(comparison_sql(f"`{answer}`", "answer_facts", f"`{expected}`", "expected_facts", "expected answer")),
+        "against_context": F.expr(comparison_sql(f"`{answer}`", "answer_facts", f"`{context}`", "context_facts", "context")),
+    })
