@@ -16,3 +16,13 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     packed = df.select(*kept, F.struct(*(c.alias(n) for n, c in columns.items()), F.spark_partition_id().alias("__partition")).alias("__computed"))
     return packed.select(*kept, *(F.col("__computed").getField(n).alias(n) for n in columns))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan of fewer partitions than there are cores, spread over all of them; others as they are.
+
+    A small file of one row group is one task's work whatever the number of cores. Large inputs
+    have partitions enough and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if not df.isStreaming and df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom import config
 from gradeloom.functions.facts import KINDS, acronym_sql, alias_sql, content_sql, with_facts
+from gradeloom.functions.plan import spread
 from gradeloom.functions.text import in_list
 from gradeloom.operators import report
 from gradeloom.operators.compare import with_comparisons
@@ -25,6 +26,11 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sample_evaluations")
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """The records for work that is long for each row."""
+    return spread(_records(spark, d))
+
+
 def _results(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evaluation_results")
 
@@ -90,14 +96,14 @@ def fact_alias(spark, d):
 
 def _facts(kind: str):
     def query(spark, d):
-        found = with_facts(_records(spark, d).select("row_id", "answer"), "answer", "facts")
+        found = with_facts(_spread(spark, d).select("row_id", "answer"), "answer", "facts")
         return found.select("row_id", F.explode(f"facts.{kind}").alias("fact")).select("row_id", F.col("fact.k").alias("fact_key"), F.col("fact.s").alias("surface"))
 
     return query
 
 
 def _compared(spark, d) -> DataFrame:
-    return with_comparisons(cleaned(_records(spark, d)))
+    return with_comparisons(cleaned(_spread(spark, d)))
 
 
 def conflicts(spark, d):
@@ -115,21 +121,21 @@ def short_value_match(spark, d):
 
 
 def conflict_primary(spark, d):
-    return evaluate_detailed(_records(spark, d)).where("primary IS NOT NULL").select(F.col("__original.row_id").alias("row_id"), "primary.*")
+    return evaluate_detailed(_spread(spark, d)).where("primary IS NOT NULL").select(F.col("__original.row_id").alias("row_id"), "primary.*")
 
 
 def evaluate_full(spark, d):
-    return evaluate(_records(spark, d)).drop("evaluated_at")
+    return evaluate(_spread(spark, d)).drop("evaluated_at")
 
 
 def evaluate_summary(spark, d):
     """The summary of the evaluation itself: one pass from records to one row."""
-    return report.summary(evaluate(_records(spark, d)))
+    return report.summary(evaluate(_spread(spark, d)))
 
 
 def evaluate_changes(spark, d):
     """Stored results beside a new evaluation of the same records: a full outer join of two runs."""
-    new = evaluate(_records(spark, d)).select("row_id", F.col("status").alias("new_status"), F.col("error_type").alias("new_error_type"))
+    new = evaluate(_spread(spark, d)).select("row_id", F.col("status").alias("new_status"), F.col("error_type").alias("new_error_type"))
     latest = _results(spark, d).groupBy("row_id").agg(F.max_by("status", "result_id").alias("old_status"), F.max_by("error_type", "result_id").alias("old_error_type"))
     both = latest.join(new, "row_id", "full")
     return both.groupBy("old_status", "new_status").agg(F.count("*").alias("n_records"))
@@ -137,7 +143,7 @@ def evaluate_changes(spark, d):
 
 def evaluate_adjusted(spark, d):
     """The metrics before and after references, conflicts and short answers change them."""
-    e = evaluate_detailed(_records(spark, d))
+    e = evaluate_detailed(_spread(spark, d))
     return e.select(F.col("__original.row_id").alias("row_id"), *METRICS, "quality_score", "conflict", "supported")
 
 
