@@ -86,7 +86,11 @@ WIDE = ("".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0
 
 
 def _alternatives(words) -> str:
-    return "|".join(sorted((re.escape(w).replace("_", r"\s?") for w in words), key=lambda w: (-len(w), w)))
+    """A pattern of any of words, the longest first, branched by their first letters so that most places fail at once."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        by_first.setdefault(w[0], []).append(re.escape(w[1:]).replace("_", r"\s?"))
+    return "|".join(re.escape(c) + (rest[0] if len(rest) == 1 else f"(?:{'|'.join(rest)})") for c, rest in sorted(by_first.items()))
 
 
 def _bare(word: str) -> str:
