@@ -114,19 +114,19 @@ def _patterns() -> dict[str, str]:
     guarded = {"in", "to", "go", "mo", "ko", "once", "mil", "st"} & words
     unit = rf"(?:{_alternatives(words - guarded)}|(?:{_alternatives(guarded)})(?=\s*$|[^\p{{L}}\s]|\s+(?:long|wide|high|tall|deep|is)\b))(?![\p{{L}}\p{{N}}_])"
     digits = r"\d{1,3}(?:[.,' ]\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
-    spoken = f"(?:{_alternatives(NUMBER_WORDS)})(?:[- ](?:{_alternatives(NUMBER_WORDS)}))?(?: and a half)?(?=\\s)"
+    spoken = f"(?:half(?: an?)?|(?:{_alternatives(NUMBER_WORDS)})(?:[- ](?:{_alternatives(NUMBER_WORDS)}))?(?: and a half)?)(?=\\s)"
     times = f"(?:{_alternatives(MULTIPLIERS)})"
     number = rf"(?:(?<![\p{{L}}\p{{N}}_.,])(?:[-−]|minus )?(?:{digits}|{spoken}))"
     also = rf"(?:(?:,? ?(?:and|und|et|y|и)? ?)({digits})\s?({unit}))?"
     return {
         "whole": rf"({number})(?:\s?({times}))?\s?-?({unit}){also}{also}",
         "bare": rf"({number})(?:\s?({times}))?(?![\p{{L}}\p{{N}}])",
-        "asked": rf"(?:answer in|, in|measured in|expressed in|in units of|, en|\() ?({unit})[^\p{{L}}\p{{N}}]*$",
+        "asked": rf"(?:(?:answer|measured|expressed|[,;:])[^\p{{L}}\p{{N}}]*in(?: units of)?|, en|\()[^\p{{L}}\p{{N}}]*({unit})[^\p{{L}}\p{{N}}]*$",
         "sheet": rf"(?:unit[^:.]*: ?|figures[^.]* (?:are|is) in |values[^.]* in |inventory \(|einheit[^:.]*: ?|unité[^:.]*: ?|unidad[^:.]*: ?)({unit})",
         "entry": r"(?:value|reads|wert|valeur|valor|=|lautet|indique)\s*:?\s*",
         "english": r"\b(?:the|is|it|what|how|which|of|does|at|to|takes|holds|weighs|needs|hours?|weeks?|days?|grams?|ounces?|feet|yards?|inch(?:es)?|pounds?|gallons?)\b",
         "comma": r"\b(?:der|die|das|wie|von|ist|wiegt|dauert|nennt|zeigt|tage|stunden|sekunden|wochen|gramm|le|la|les|du|de|pèse|mesure|dure|quelle|combien|jours|heures|secondes|semaines|el|los|cuánto|pesa|mide|dura|días|horas|segundos|semanas)\b",
-        "spoken": rf"\b(?:{_alternatives(NUMBER_WORDS)})\b",
+        "spoken": rf"\b(?:half|{_alternatives(NUMBER_WORDS)})\b",
     }
 
 
@@ -154,7 +154,7 @@ def _sql(fields) -> str:
             try_cast(CASE WHEN {figure} RLIKE "^[0-9]+,([0-9]{{1,2}}|[0-9]{{4,}})$|^0,|[. '][0-9]{{3}},[0-9]+$" THEN {point}
                           WHEN {figure} RLIKE "^[0-9]+[.]([0-9]{{1,2}}|[0-9]{{4,}})$|^0[.]|,[0-9]{{3}}[.][0-9]+$" THEN {english}
                           WHEN {comma} THEN {point} ELSE {english} END AS DOUBLE),
-            aggregate(split({figure}, '[- ]'), 0D, (a, w) -> CASE WHEN w = 'hundred' THEN greatest(a, 1D) * 100D WHEN w IN ('and', 'a') THEN a WHEN w = 'half' THEN a + 0.5D ELSE a + {spoken_map}[w] END))"""
+            aggregate(split({figure}, '[- ]'), 0D, (a, w) -> CASE WHEN w = 'hundred' THEN greatest(a, 1D) * 100D WHEN w IN ('and', 'a', 'an') THEN a WHEN w = 'half' THEN a + 0.5D ELSE a + {spoken_map}[w] END))"""
 
     def alias(c):
         return rf"""regexp_replace({c}, r"[\s._-]", '')"""

@@ -84,7 +84,7 @@ def test_lines(spark):
 
 
 UNITS = [
-    ("q", "It weighs 1 kg 701 g.", 1701.0), ("q", "16632 h", 16632 * 3600.0), ("q", "six days", 518400.0), ("q", "eight and a half kilometres", 8.5e6), ("q", "5.4 thousand fl oz", 5400 * 29.5735295625),
+    ("q", "It weighs 1 kg 701 g.", 1701.0), ("q", "16632 h", 16632 * 3600.0), ("q", "six days", 518400.0), ("q", "eight and a half kilometres", 8.5e6), ("q", "It takes half an hour.", 1800.0), ("q", "half a litre", 500.0), ("How long; in seconds?!", "555", 555.0), ("q", "half of them", None), ("q", "5.4 thousand fl oz", 5400 * 29.5735295625),
     ("Wie lang?", "33.060 Minuten", 33060 * 60.0), ("Wie schwer?", "184,3 Gramm", 184.3), ("Quelle longueur?", "7 620 centimètres", 76200.0), ("q", "1,219 millimeters", 1219.0), ("q", "１２ ｋｇ", 12000.0), ("q", "5632‌ ﻿KB", 5632.0),
     ("q", "36864 КВ", 36864.0), ("q", "212 °F", 100.0), ("q", "-5 °C", -5.0), ("q", "300 kelvin", 26.85), ("q", "18ft", 18 * 304.8), ("q", "2 hours and 30 minutes", 9000.0), ("q", "9.45 in", 9.45 * 25.4),
     ("How heavy (answer in metric tons)?", "0.16", 160000.0), ("How long, in seconds?", "The figure is 555.", 555.0), ("q", "Unit used by X: minutes. Entry refund, value 22,560.", 22560 * 60.0), ("q", "X inventory (seconds): appeal = 3720.", 3720.0),
