@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Records and canonical bytes that one bucket may hold before it is split.
-MOST_RECORDS, MOST_BYTES = 200_000, 128 << 20
+MOST_RECORDS, MOST_BYTES = 100_000, 64 << 20
 #: Leading bytes of the first counting; every further one doubles them.
 FIRST_BYTES = 16
 #: Bytes by which a trie node branches.
