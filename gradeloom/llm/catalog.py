@@ -10,7 +10,7 @@ from gradeloom.llm.mixing import mixture, shares
 from gradeloom.llm.pairs import defects
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import repetition
-from gradeloom.llm.truncation import cut_shares, cut_texts, storage_limits
+from gradeloom.llm.truncation import ENDED, OMITTED, cut_shares, cut_texts, storage_limits
 from gradeloom.sources.tables import table
 
 
@@ -106,6 +106,23 @@ def _folded(c: str) -> str:
 
 _FOLDED = ", ".join(map(_folded, TEXTS))
 _GROUPS = f"SELECT row_id, min(row_id) OVER g AS first_id, count(*) OVER g AS n_copies FROM (SELECT row_id, list_sort([{_FOLDED}]) AS k FROM sample_evaluations) WINDOW g AS (PARTITION BY k)"
+_FORMS = {
+    "characters": "length(t)", "utf8": "strlen(t)", "utf16": r"length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]'))",
+    "entities": "length(t) + 4 * n_amp + 3 * n_lt + 3 * n_gt + 5 * n_quote + 4 * n_tick", "json": "length(t) + n_quote + n_back + n_line + n_return + n_tab",
+    "two_character_breaks": "length(t) + n_line - n_both",
+}
+_SIGNS = {"n_amp": "'&'", "n_lt": "'<'", "n_gt": "'>'", "n_quote": "chr(34)", "n_tick": "chr(39)", "n_back": "chr(92)", "n_line": "chr(10)", "n_return": "chr(13)", "n_tab": "chr(9)", "n_both": "chr(13) || chr(10)"}
+_ENDED, _OMITTED = (p.replace("'", "''") for p in (ENDED, OMITTED))
+_LIMITS = f"""
+WITH a AS (SELECT coalesce(source, '') AS source, answer AS t, NOT regexp_matches(answer, '{_ENDED}') OR regexp_matches(answer, '{_OMITTED}') AS no_end FROM sample_evaluations WHERE length(trim(answer)) > 0),
+s AS (SELECT *, {", ".join(f"(length(t) - length(replace(t, {sign}, ''))) // length({sign}) AS {name}" for name, sign in _SIGNS.items())} FROM a),
+l AS ({" UNION ALL ".join(f"SELECT source, no_end, '{form}' AS form, {sql} AS len FROM s" for form, sql in _FORMS.items())}),
+c AS (SELECT source, form, len, count(*) AS n, count(*) FILTER (no_end) AS n_open FROM l GROUP BY ALL),
+w AS (SELECT *, (sum(n_open) OVER (PARTITION BY source, form ORDER BY len RANGE BETWEEN 8 PRECEDING AND 8 FOLLOWING) - n_open) / 16 AS around,
+        coalesce(sum(n) OVER (PARTITION BY source, form ORDER BY len RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS n_beyond FROM c)
+SELECT source, form, len AS "limit", n_open AS n_at, CAST(n_beyond AS BIGINT) AS n_beyond FROM w
+WHERE n_open >= 5 AND n_open >= 6 * (around + 0.5) AND n_beyond <= n_open * 0.1 AND len >= 16
+"""
 _SHARES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM w)),
@@ -114,6 +131,7 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM later, range(0, 8) AS
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_repeated, coalesce(n, 0) / greatest(len(ws), 1) AS share FROM w LEFT JOIN covered USING (doc_id)
 """
 ORACLES: dict[str, str] = {
+    "p2_limits": _LIMITS,
     "p4_found": f"SELECT first_id AS row_id_a, row_id AS row_id_b FROM ({_GROUPS}) WHERE row_id <> first_id",
     "p4_records": f"SELECT row_id, n_copies FROM ({_GROUPS}) WHERE row_id = first_id",
     "p9_found": f"SELECT doc_id FROM ({_SHARES}) WHERE share >= 0.3",
