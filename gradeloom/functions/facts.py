@@ -40,6 +40,18 @@ PATTERNS = {
     "number": rf"(?i)\b{NUMBER}\b",
     "entity": r"\b[A-Z][A-Za-z'-]*(?:\s+(?:(?:of|the|and|bin|al)\s+)?[A-Z][A-Za-z'-]*)*\b",
 }
+_WORD = r"[\p{L}\p{N}_]"
+#: A word boundary where letters, digits and underscores of any script are words and combining marks are not.
+_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
+
+def _java(pattern: str) -> str:
+    """A pattern with its word boundaries spelled out: the first opens a word, later ones close it, but an entity may end in a mark."""
+    head, first, rest = pattern.partition(r"\b")
+    return head + (rf"(?<!{_WORD})" if first else "") + rest.replace(r"\b", _BOUNDARY if pattern == PATTERNS["entity"] else rf"(?!{_WORD})")
+
+
+_JAVA = {c: _java(p) for c, p in PATTERNS.items()}
 _FACT = "array<struct<k:string,s:string>>"
 
 
@@ -59,7 +71,7 @@ def parsed_number(x: str) -> str:
 
 def spans(t: str, pattern: str) -> str:
     """array<struct<b, e, s>>: where each match of pattern in t begins and ends, and its text."""
-    p = quoted(PATTERNS[pattern])
+    p = quoted(_JAVA[pattern])
     found = f"regexp_extract_all({t}, {p}, 0)"
     gaps = f"split({t}, {p}, -1)"
     return f"""aggregate(zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> struct(m AS m, g AS g)),
@@ -82,7 +94,7 @@ def _keyed(found: str, key: str) -> str:
 
 
 def _group(pattern: str, n: int) -> str:
-    return f"regexp_extract(x.s, {quoted(PATTERNS[pattern])}, {n})"
+    return f"regexp_extract(x.s, {quoted(_JAVA[pattern])}, {n})"
 
 
 def _unit(pattern: str) -> str:
@@ -135,7 +147,7 @@ def canonical_entity(e: str) -> str:
 def facts_sql(text: str) -> str:
     """A struct of the facts of a text: the six kinds, and the entities."""
     keyed = {c: _keyed(f"own_{c}.found", _KEYS[c]) for c in _TURNS}
-    entity = f"transform(regexp_extract_all(said, {quoted(PATTERNS['entity'])}, 0), e -> struct({canonical_entity('e')} AS k, e AS s))"
+    entity = f"transform(regexp_extract_all(said, {quoted(_JAVA['entity'])}, 0), e -> struct({canonical_entity('e')} AS k, e AS s))"
     excluded = in_list([*config.NO_ENTITIES, *config.NUMBER_WORDS])
     fields = {
         "durations": keyed["duration"], "percentages": f"concat({keyed['percent']}, {keyed['fraction']})", "temperatures": keyed["temperature"],
@@ -154,7 +166,9 @@ def facts_sql(text: str) -> str:
         else:
             step = let("here", found, "struct(here AS found, here AS taken)")
         body = let(f"own_{c}", step, body)
-    return let("said", f"coalesce({text}, '')", let("low", "lower(said)", body))
+    # spaces of any kind are spaces
+    said = f"CASE WHEN {text} IS NULL THEN '' WHEN octet_length({text}) = length({text}) THEN {text} ELSE regexp_replace({text}, '\\\\p{{Z}}', ' ') END"
+    return let("said", said, let("low", "lower(said)", body))
 
 
 def with_facts(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -164,7 +178,7 @@ def with_facts(df: DataFrame, text: str, name: str) -> DataFrame:
 
 def content_sql(t: str) -> str:
     """The content words of t, each once: no stopwords, a final s dropped from words of more than four letters."""
-    words = f"regexp_extract_all({fold_sql(t)}, {quoted(chr(92) + 'b[a-z][a-z' + chr(39) + '-]*' + chr(92) + 'b')}, 0)"
+    words = f"regexp_extract_all({fold_sql(t)}, {quoted(rf"(?<!{_WORD})[a-z][a-z'-]*{_BOUNDARY}")}, 0)"
     kept = f"filter({words}, w -> w NOT IN {in_list(config.STOPWORDS)})"
     return f"array_distinct(transform({kept}, w -> IF(length(w) > 4, regexp_replace(w, 's$', ''), w)))"
 

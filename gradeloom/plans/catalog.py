@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import data_queries, eval_queries
+from gradeloom.plans import data_queries, eval_queries, fact_sql
 
 QUERIES = {**eval_queries.QUERIES, **data_queries.QUERIES}
-ORACLES = {**eval_queries.ORACLES, **data_queries.ORACLES}
+ORACLES = {**eval_queries.ORACLES, **fact_sql.ORACLES, **data_queries.ORACLES}

@@ -94,10 +94,19 @@ def fact_alias(spark, d):
     return _records(spark, d).where("answer IS NOT NULL AND context IS NOT NULL").select("row_id", F.expr(alias_sql("answer", "context")).alias("matches"))
 
 
+def _key_columns(kind: str) -> list:
+    """The key of a fact as columns: what it compares within, and the amount, or a name."""
+    k = F.col("fact.k")
+    if kind in ("dates", "entities"):
+        return [k.alias({"dates": "date_key", "entities": "entity"}[kind])]
+    amount = F.regexp_extract(k, "[^ ]+$", 0).cast("double").alias("amount")
+    return [F.regexp_extract(k, "^[a-z]+", 0).alias("family"), amount] if kind in ("durations", "temperatures") else [amount]
+
+
 def _facts(kind: str):
     def query(spark, d):
         found = with_facts(_spread(spark, d).select("row_id", "answer"), "answer", "facts")
-        return found.select("row_id", F.explode(f"facts.{kind}").alias("fact")).select("row_id", F.col("fact.k").alias("fact_key"), F.col("fact.s").alias("surface"))
+        return found.select("row_id", F.explode(f"facts.{kind}").alias("fact")).select("row_id", *_key_columns(kind), F.col("fact.s").alias("surface"))
 
     return query
 
