@@ -9,6 +9,7 @@ from gradeloom.functions.facts import KINDS, acronym_sql, alias_sql, content_sql
 from gradeloom.functions.plan import spread
 from gradeloom.functions.text import in_list
 from gradeloom.operators import report
+from gradeloom.operators.adapters import compare_runs, with_references
 from gradeloom.operators.compare import with_comparisons
 from gradeloom.operators.rules import with_findings
 from gradeloom.operators.score import quality, weakest
@@ -62,12 +63,12 @@ def dedupe_first(spark, d):
 
 
 def rules_findings(spark, d):
-    return with_findings(_records(spark, d)).select("row_id", "rules.*")
+    return with_findings(_records(spark, d)).select("row_id", "rules.*").withColumn("word_count", F.col("word_count").cast("bigint"))
 
 
 def _finding(name: str):
     def query(spark, d):
-        return with_findings(_records(spark, d)).select("row_id", F.col(f"rules.{name}").alias(name))
+        return with_findings(_records(spark, d)).select("row_id", (F.col(f"rules.{name}").cast("bigint") if name == "word_count" else F.col(f"rules.{name}")).alias(name))
 
     return query
 
@@ -169,6 +170,22 @@ def threshold_failure(spark, d):
     return _results(spark, d).select("result_id", low["error"].alias("error"), low["metric"].alias("metric"), low["score"].alias("score"))
 
 
+def joined_thresholds(spark, d):
+    """Records with the threshold of their suite; a tenth of all records share one suite."""
+    suites = table(spark, d, "eval_suites").withColumnRenamed("pass_threshold", "suite_threshold")
+    return with_references(_records(spark, d), suites, "suite_id", ["suite_threshold", "topic"]).select("row_id", "suite_id", "suite_threshold", "topic")
+
+
+def compared_runs(spark, d):
+    """The latest result of each record by the two last evaluator versions."""
+
+    def latest(version: str) -> DataFrame:
+        own = _results(spark, d).where(F.col("evaluator_version") == version)
+        return own.groupBy("row_id").agg(*(F.max_by(c, "result_id").alias(c) for c in ("status", "error_type")))
+
+    return compare_runs(latest("1.2.0"), latest("1.3.0"), "row_id", ["status", "error_type"])
+
+
 def summary(spark, d):
     return report.summary(_results(spark, d))
 
@@ -209,7 +226,7 @@ def export_columns(spark, d):
 QUERIES = {f.__name__: f for f in (
     validate_counts, validate_valid, validate_reasons, dedupe_first, rules_findings, sim_jaccard, sim_cosine, content_words, acronym_match, fact_alias,
     conflicts, equivalences, short_value_match, conflict_primary, evaluate_full, evaluate_adjusted, evaluate_summary, evaluate_changes,
-    quality_score, quality_custom_weights, threshold_failure, summary, error_counts, error_options, lowest_k, filter_results, compact_results, row_details, row_labels, export_columns,
+    quality_score, quality_custom_weights, threshold_failure, joined_thresholds, compared_runs, summary, error_counts, error_options, lowest_k, filter_results, compact_results, row_details, row_labels, export_columns,
 )}
 QUERIES |= {f"rule_{n}": _finding(n) for n in (*FINDINGS, "word_count", "penalty")}
 QUERIES |= {f"facts_{k}": _facts(k) for k in (*KINDS, "entities")}
@@ -327,6 +344,8 @@ ORACLES = {
     "quality_score": f"SELECT result_id, {_quality_sql(config.WEIGHTS)} AS quality FROM evaluation_results",
     "quality_custom_weights": f"SELECT result_id, {_quality_sql(OTHER_WEIGHTS)} AS quality FROM evaluation_results",
     "threshold_failure": f"WITH l AS (SELECT result_id, list_min(list_filter([{_LOW}], lambda x: x IS NOT NULL)) AS low FROM evaluation_results) SELECT result_id, coalesce(low.error, 'Incomplete Answer') AS error, coalesce(low.metric, 'completeness_score') AS metric, coalesce(low.score, 0.0) AS score FROM l",
+    "joined_thresholds": "SELECT row_id, suite_id, s.pass_threshold AS suite_threshold, topic FROM sample_evaluations LEFT JOIN eval_suites s USING (suite_id)",
+    "compared_runs": "WITH o AS (SELECT row_id, arg_max_null(status, result_id) AS os, arg_max_null(error_type, result_id) AS oe FROM evaluation_results WHERE evaluator_version = '1.2.0' GROUP BY 1), n AS (SELECT row_id, arg_max_null(status, result_id) AS ns, arg_max_null(error_type, result_id) AS ne FROM evaluation_results WHERE evaluator_version = '1.3.0' GROUP BY 1) SELECT coalesce(o.row_id, n.row_id) AS row_id, os AS old_status, oe AS old_error_type, ns AS new_status, ne AS new_error_type, o.row_id IS NULL OR n.row_id IS NULL OR os IS DISTINCT FROM ns OR oe IS DISTINCT FROM ne AS differs FROM o FULL JOIN n ON o.row_id = n.row_id",
     "summary": f"SELECT count(*) AS total, count(*) FILTER (status = 'Pass') AS passed, count(*) - count(*) FILTER (status = 'Pass') AS failed, CASE WHEN count(*) = 0 THEN 0.0 ELSE {_round('count(*) FILTER (status = $$Pass$$) / count(*) * 100', 1)} END AS pass_rate, CASE WHEN count(*) = 0 THEN 0.0 ELSE {_round('(count(*) - count(*) FILTER (status = $$Pass$$)) / count(*) * 100', 1)} END AS fail_rate, {_SCORE_LIST} FROM evaluation_results",
     "error_counts": "SELECT error_type, count(*) AS count FROM evaluation_results WHERE error_type IS NOT NULL GROUP BY 1",
     "error_options": f"SELECT DISTINCT error_type, CAST(coalesce(list_position({_KNOWN}, error_type), {len(config.ERROR_TYPES) + 1}) AS BIGINT) AS turn FROM evaluation_results WHERE error_type IS NOT NULL",

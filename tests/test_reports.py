@@ -58,3 +58,15 @@ def test_contract(spark):
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and set(catalog.QUERIES) <= set(names)
     assert entry.entry(spark).columns[-1] == "evaluator_version"
+
+
+def test_adapters(spark):
+    from gradeloom.operators.adapters import compare_runs, text_key, with_references, with_vectors
+
+    records = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "b", None)], "i int, suite string, text string")
+    refs = spark.createDataFrame([("a", 5)], "suite string, n int")
+    assert {r["i"]: r["n"] for r in with_references(records, refs, "suite", ["n"]).collect()} == {1: 5, 2: None, 3: None}
+    vectors = spark.createDataFrame([("x", [1.0])], "t string, embedding array<double>").select(text_key("t").alias("text_key"), "embedding")
+    assert {r["i"]: r["v"] for r in with_vectors(records, vectors, {"text": "v"}).collect()} == {1: [1.0], 2: None, 3: None}
+    old, new = spark.createDataFrame([(1, "P"), (2, None), (3, "F")], "i int, s string"), spark.createDataFrame([(1, "P"), (2, None), (4, "F")], "i int, s string")
+    assert {r["i"]: r["differs"] for r in compare_runs(old, new, "i", ["s"]).collect()} == {1: False, 2: False, 3: True, 4: True}
