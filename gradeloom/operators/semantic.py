@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from gradeloom.functions.text import quoted, round_half_even, strip
+from gradeloom.functions.text import let, quoted, round_half_even, strip
 
 
 class Scorer(ABC):
@@ -30,9 +30,8 @@ class Jaccard(Scorer):
         def words(c: str) -> str:
             return f"array_distinct(regexp_extract_all(lower(coalesce({c}, '')), {quoted('[\\p{L}\\p{N}_]+')}, 0))"
 
-        a, b = words(left), words(right)
-        union = f"size(array_union({a}, {b}))"
-        return round_half_even(F.expr(f"IF({union} = 0, 0D, 100D * size(array_intersect({a}, {b})) / {union})"))
+        share = let("n", "size(array_union(u, v))", "IF(n = 0, 0D, 100D * size(array_intersect(u, v)) / n)")
+        return round_half_even(F.expr(let("u", words(left), let("v", words(right), share))))
 
 
 class Constant(Scorer):
