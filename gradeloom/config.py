@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 #: Columns of the input, and those that the evaluation adds, in their order.
 REQUIRED = ("question", "answer")
 OPTIONAL = ("expected_answer", "context", "id")
@@ -52,7 +50,7 @@ OPPOSITES = (
     ("enabled", "disabled"), ("true", "false"), ("successful", "failed"), ("increase", "decrease"), ("increased", "decreased"), ("before", "after"),
 )
 #: Formulas and the names of what they stand for.
-ALIASES = ((r"\bh\s*2\s*o\b", r"\bwater\b"), (r"\bco\s*2\b", r"\bcarbon\s+dioxide\b"))
+ALIASES = ((r"h\s*2\s*o", "water"), (r"co\s*2", r"carbon\s+dioxide"))
 
 NUMBER_WORDS = {
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10,
@@ -92,11 +90,3 @@ FEEDBACK = {
 REPEATS_QUESTION = "The response repeats or closely reformulates the question without providing an answer. Supply the requested factual value or conclusion."
 NO_EXPECTED, NO_CONTEXT = "correctness (no expected answer)", "groundedness estimate (no context)"
 DISCLAIMER = "These local semantic and rule-based checks are estimates, not a guarantee of factual correctness."
-
-
-def app_mode(secrets: dict | None = None) -> str:
-    """'demo' if APP_MODE, from the environment or else from secrets, says so in any case, or 'local'."""
-    said = os.environ.get("APP_MODE")
-    if said is None:
-        said = (secrets or {}).get("APP_MODE")
-    return "demo" if str(said or "").strip().lower() == "demo" else "local"

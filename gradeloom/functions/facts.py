@@ -1,21 +1,29 @@
-"""Typed facts of a text as native expressions.
+"""Typed facts of a text, read in Arrow batches, and the word sets in which texts are compared.
 
-A fact is a struct of a key in normal form and the words that state it. Where patterns overlap,
-the earlier class takes the text: full dates, durations, percentages, temperatures, fractions,
-storage sizes, years, plain numbers. The places of matches come from the lengths of the matches
-and of the gaps between them, so that no row leaves the JVM.
+A fact is a key in normal form and the words that state it; keys and words of a kind lie in two
+arrays of one order. Where forms overlap, the
+earlier one takes the text: full dates, durations, percentages, temperatures, fractions, storage
+sizes, years, plain numbers. Which characters are taken is kept as one byte for each character, so
+a text is read in time linear in its length, however many facts it has. Built-in functions cannot
+say where a match begins; worked out from gaps and matches, the same took eight times as long and
+grew with the square of the matches.
 
 Kept as they are: a duration may overlap a date; days and months are not compared with each
-other; Celsius and Fahrenheit neither; "1,000" is the numbers 1 and 0.
+other; Celsius and Fahrenheit neither; "1,000" is the numbers 1 and 0. Defined results: null and
+empty texts have no facts; of several statements of one key the first counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom import config
 from gradeloom.functions.plan import computed
-from gradeloom.functions.text import fold_sql, in_list, let, quoted
+from gradeloom.functions.text import fold_sql, in_list, quoted
 
 KINDS = ("durations", "percentages", "temperatures", "storage", "dates", "numbers")
 
@@ -26,13 +34,13 @@ _MONTH = "|".join(config.MONTHS)
 _YEAR = r"(?:19|20)\d{2}"
 _DAY = r"[0-3]?\d"
 
-#: How facts are written. Groups are numbered; see the keys below.
+#: How facts are written.
 PATTERNS = {
     "iso": rf"\b({_YEAR})[-/](0?[1-9]|1[0-2])[-/](0?[1-9]|[12]\d|3[01])\b",
     "month_first": rf"(?i)\b({_MONTH})\s+({_DAY})(?:st|nd|rd|th)?(?:,\s*|\s+)({_YEAR})\b",
     "day_first": rf"(?i)\b({_DAY})(?:st|nd|rd|th)?\s+({_MONTH})(?:,\s*|\s+)({_YEAR})\b",
     "duration": rf"(?i)\b({NUMBER})\s*(seconds?|minutes?|hours?|days?|weeks?|months?|years?)\b",
-    "percent": rf"(?i)\b({NUMBER})\s*(?:%(?![\p{{L}}\p{{N}}_])|percent(?:age points?)?\b)",
+    "percent": rf"(?i)\b({NUMBER})\s*(?:%(?!\w)|percent(?:age points?)?\b)",
     "temperature": rf"(?i)\b({NUMBER})\s*(?:(?:degrees?\s*)?(celsius|fahrenheit)|°\s*([cf]))\b",
     "fraction": r"(?i)\b(?:three[-\s]+quarters?|one[-\s]+quarters?|one[-\s]+halves?|one[-\s]+half|one[-\s]+fifths?|halfway|half)\b",
     "storage": rf"(?i)\b({NUMBER})\s*(kilobytes?|kb|megabytes?|mb|gigabytes?|gb)\b",
@@ -40,145 +48,134 @@ PATTERNS = {
     "number": rf"(?i)\b{NUMBER}\b",
     "entity": r"\b[A-Z][A-Za-z'-]*(?:\s+(?:(?:of|the|and|bin|al)\s+)?[A-Z][A-Za-z'-]*)*\b",
 }
-_WORD = r"[\p{L}\p{N}_]"
-#: A word boundary where letters, digits and underscores of any script are words and combining marks are not.
-_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
-
-
-def _java(pattern: str) -> str:
-    """A pattern with its word boundaries spelled out: the first opens a word, later ones close it, but an entity may end in a mark."""
-    head, first, rest = pattern.partition(r"\b")
-    return head + (rf"(?<!{_WORD})" if first else "") + rest.replace(r"\b", _BOUNDARY if pattern == PATTERNS["entity"] else rf"(?!{_WORD})")
-
-
-_JAVA = {c: _java(p) for c, p in PATTERNS.items()}
-_FACT = "array<struct<k:string,s:string>>"
-
-
-def _map(pairs: dict, cast: str = "") -> str:
-    return "map(" + ", ".join(f"{quoted(k)}, {quoted(v) if isinstance(v, str) else str(v) + cast}" for k, v in pairs.items()) + ")"
-
-
-def parsed_number(x: str) -> str:
-    """The value of a number or number word x as a double."""
-    parts = f"split(trim(replace(lower({x}), '-', ' ')), '\\\\s+')"
-    words = _map(config.NUMBER_WORDS, "D")
-    spelled = f"""CASE WHEN array_contains({parts}, 'hundred')
-        THEN greatest(1D, aggregate({parts}, 0D, (a, w) -> a + IF(w = 'hundred', 0D, coalesce({words}[w], 0D)))) * 100D
-        ELSE aggregate({parts}, 0D, (a, w) -> a + {words}[w]) END"""
-    return f"coalesce(try_cast({x} AS DOUBLE), {spelled})"
-
-
-def spans(t: str, pattern: str) -> str:
-    """array<struct<b, e, s>>: where each match of pattern in t begins and ends, and its text."""
-    p = quoted(_JAVA[pattern])
-    found = f"regexp_extract_all({t}, {p}, 0)"
-    gaps = f"split({t}, {p}, -1)"
-    return f"""aggregate(zip_with({found}, slice({gaps}, 1, size({found})), (m, g) -> struct(m AS m, g AS g)),
-        struct(0 AS at, CAST(array() AS array<struct<b:int,e:int,s:string>>) AS out),
-        (a, x) -> struct(a.at + length(x.g) + length(x.m) AS at, concat(a.out, array(struct(a.at + length(x.g) AS b, a.at + length(x.g) + length(x.m) AS e, x.m AS s))) AS out),
-        a -> a.out)"""
+#: A number begins with a digit or the first letter of a number word; to look for that first saves trying all words.
+_READ = {form: re.compile(p.replace("(?i)\\b", rf"(?i)\b(?=[\d{''.join(sorted({w[0] for w in config.NUMBER_WORDS}))}])") if NUMBER in p else p) for form, p in PATTERNS.items()}
+_MONTHS = {m: i + 1 for i, m in enumerate(config.MONTHS)}
+#: Letters that a pattern without case takes for a Latin one.
+_SAME_LETTER = str.maketrans("ıİſK", "iisk")
 
 
-def _free(found: str, taken: str) -> str:
-    return f"filter({found}, x -> NOT exists({taken}, y -> x.b < y.e AND y.b < x.e))"
+def _low(written: str) -> str:
+    return written.lower() if written.isascii() else written.translate(_SAME_LETTER).lower()
 
 
-def _first_of_each(facts: str) -> str:
-    """facts without those whose key came before."""
-    return f"aggregate({facts}, CAST(array() AS {_FACT}), (a, x) -> IF(exists(a, y -> y.k = x.k), a, concat(a, array(x))))"
+def figure(written: str) -> float:
+    """The value of digits or of number words."""
+    try:
+        return float(written)
+    except ValueError:
+        words = _low(written).replace("-", " ").split()
+    total = sum(config.NUMBER_WORDS[w] for w in words if w != "hundred")
+    return float(max(1, total) * 100 if "hundred" in words else total)
 
 
-def _keyed(found: str, key: str) -> str:
-    return f"transform({found}, x -> struct({key} AS k, x.s AS s))"
+def _unit(m: re.Match) -> str:
+    return _low(m[2]).removesuffix("s")
 
 
-def _group(pattern: str, n: int) -> str:
-    return f"regexp_extract(x.s, {quoted(_JAVA[pattern])}, {n})"
+def _duration(m: re.Match) -> str:
+    family, factor = config.DURATIONS[_unit(m)]
+    return f"{family} {figure(m[1]) * factor}"
 
 
-def _unit(pattern: str) -> str:
-    return f"regexp_replace(lower({_group(pattern, 2)}), 's$', '')"
+def _date(year: int, month: int, day: int) -> Callable[[re.Match], str]:
+    """The key of a full date whose year, month and day are in these groups."""
+    return lambda m: f"{m[year]}-{_MONTHS.get(_low(m[month])) or int(m[month])}-{int(m[day])}"
 
 
-def _month(g: str) -> str:
-    return f"CAST({_map({m: i + 1 for i, m in enumerate(config.MONTHS)})}[lower({g})] AS STRING)"
-
-
-def _int(g: str) -> str:
-    return f"CAST(CAST({g} AS INT) AS STRING)"
-
-
-_KEYS = {
-    "iso": f"concat_ws('-', {_group('iso', 1)}, {_int(_group('iso', 2))}, {_int(_group('iso', 3))})",
-    "month_first": f"concat_ws('-', {_group('month_first', 3)}, {_month(_group('month_first', 1))}, {_int(_group('month_first', 2))})",
-    "day_first": f"concat_ws('-', {_group('day_first', 3)}, {_month(_group('day_first', 2))}, {_int(_group('day_first', 1))})",
-    "duration": f"concat({_map({u: f for u, (f, _) in config.DURATIONS.items()})}[{_unit('duration')}], ' ', {parsed_number(_group('duration', 1))} * {_map({u: n for u, (_, n) in config.DURATIONS.items()}, 'D')}[{_unit('duration')}])",
-    "percent": f"CAST({parsed_number(_group('percent', 1))} / 100D AS STRING)",
-    "temperature": f"concat(IF(lower(concat({_group('temperature', 2)}, {_group('temperature', 3)})) IN ('c', 'celsius'), 'celsius ', 'fahrenheit '), {parsed_number(_group('temperature', 1))})",
-    "fraction": f"CAST({_map(config.FRACTIONS, 'D')}[regexp_replace(lower(x.s), '[-\\\\s]+', ' ')] AS STRING)",
-    "storage": f"CAST({parsed_number(_group('storage', 1))} * {_map(config.STORAGE, 'D')}[{_unit('storage')}] AS STRING)",
-    "year": "concat('year ', x.s)",
-    "number": f"CAST({parsed_number('x.s')} AS STRING)",
-}
-#: What a text must have for a pattern to match anywhere in it; far cheaper than the pattern. low is the text in lower case.
-_ONLY_IF = {
-    "iso": "said RLIKE '(?:19|20)[0-9][0-9][-/]'",
-    "month_first": f"low RLIKE '(?:{_MONTH})' AND said RLIKE '(?:19|20)[0-9][0-9]'",
-    "day_first": f"low RLIKE '(?:{_MONTH})' AND said RLIKE '(?:19|20)[0-9][0-9]'",
-    "duration": " OR ".join(f"contains(low, '{u}')" for u in config.DURATIONS),
-    "percent": "contains(low, '%') OR contains(low, 'percent')",
-    "temperature": "contains(low, '°') OR contains(low, 'celsius') OR contains(low, 'fahrenheit')",
-    "fraction": "contains(low, 'half') OR contains(low, 'halves') OR contains(low, 'quarter') OR contains(low, 'fifth')",
-    "storage": "contains(low, 'byte') OR contains(low, 'kb') OR contains(low, 'mb') OR contains(low, 'gb')",
-    "year": "said RLIKE '(?:19|20)[0-9][0-9]'",
-    "number": f"said RLIKE '[0-9]' OR low RLIKE '(?:{_NUMBER_WORD})'",
+#: The forms in their turns: kind, key, and what the text in lower case must have for the form to be sought.
+_FORMS: dict[str, tuple[str, Callable[[re.Match], str], re.Pattern]] = {
+    form: (kind, key, re.compile(hint))
+    for form, kind, key, hint in (
+        ("iso", "dates", _date(1, 2, 3), "[-/]0?[1-9][0-2]?[-/]"),
+        ("month_first", "dates", _date(3, 1, 2), _MONTH),
+        ("day_first", "dates", _date(3, 2, 1), _MONTH),
+        ("duration", "durations", _duration, "|".join(config.DURATIONS)),
+        ("percent", "percentages", lambda m: repr(figure(m[1]) / 100), "%|percent"),
+        ("temperature", "temperatures", lambda m: f"{'celsius' if (m[2] or m[3])[0] in 'cC' else 'fahrenheit'} {figure(m[1])}", "°|celsius|fahrenheit"),
+        ("fraction", "percentages", lambda m: repr(config.FRACTIONS[re.sub(r"[-\s]+", " ", _low(m[0]))]), "hal[fv]|quarter|fifth"),
+        ("storage", "storage", lambda m: repr(figure(m[1]) * config.STORAGE[_unit(m)]), "byte|[kmg]b"),
+        ("year", "dates", lambda m: f"year {int(m[0])}", "19|20"),
+        ("number", "numbers", lambda m: repr(figure(m[0])), rf"\d|{_NUMBER_WORD}"),
+    )
 }
-_SPANS = "array<struct<b:int,e:int,s:string>>"
-_TURNS = ("iso", "month_first", "day_first", "duration", "percent", "temperature", "fraction", "storage", "year", "number")
-_ENTITY_NAME = f"regexp_replace(trim(regexp_replace({fold_sql('e')}, \"(?:'s|’s)$\", '')), '^(?:the|a|an)\\\\s+', '')"
+#: Forms that may begin in what an earlier one took.
+_ANYWHERE = ("duration",)
+_NO_ENTITIES = frozenset(config.NO_ENTITIES) | frozenset(config.NUMBER_WORDS)
+_FIELDS = (*KINDS, "entities")
+FACTS = "struct<" + ",".join(f"{k}:struct<k:array<string>,s:array<string>>" for k in _FIELDS) + ">"
+
+
+def canonical_entity(name: str) -> str:
+    """An entity's name without case, possessive and article; people and adjectives as their country."""
+    name = name.casefold()
+    if name.endswith(("'s", "’s")):
+        name = name[:-2]
+    name = name.strip()
+    if name.startswith(("the", "a")):
+        name = re.sub(r"^(?:the|a|an)\s+", "", name)
+    return config.SAME_ENTITY.get(name, name)
+
+
+def read_facts(text: str | None) -> dict[str, dict[str, str]]:
+    """For each kind, and for entities, the keys in the order of their first statements, and these."""
+    found: dict[str, dict[str, str]] = {k: {} for k in _FIELDS}
+    if not text:
+        return found
+    low, taken = _low(text), bytearray(len(text))
+    for form, (kind, key, hint) in _FORMS.items():
+        if hint.search(low) is None:
+            continue
+        for m in _READ[form].finditer(text):
+            begin, end = m.span()
+            if form in _ANYWHERE or taken.find(1, begin, end) < 0:
+                found[kind].setdefault(key(m), m[0])
+                taken[begin:end] = b"\x01" * (end - begin)
+    for m in _READ["entity"].finditer(text):
+        name = canonical_entity(m[0])
+        if len(name) != 1 and name not in _NO_ENTITIES:
+            found["entities"].setdefault(name, m[0])
+    return found
+
+
+def facts_of(texts: pa.Array) -> pa.Array:
+    """The facts of each text of an Arrow array."""
+    read = [read_facts(t) for t in texts.to_pylist()]
+    lists = []
+    for k in _FIELDS:
+        ends, keys, said = [0], [], []
+        for facts in read:
+            keys += facts[k]
+            said += facts[k].values()
+            ends.append(len(keys))
+        at = pa.array(ends, pa.int32())
+        lists.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(x, pa.string())) for x in (keys, said)], ["k", "s"]))
+    return pa.StructArray.from_arrays(lists, list(_FIELDS))
+
+
+def facts(text: str | Column) -> Column:
+    """A struct of the facts of a text: the six kinds, and the entities."""
+    return F.arrow_udf(facts_of, FACTS)(F.col(text) if isinstance(text, str) else text)
 
 
-def canonical_entity(e: str) -> str:
-    name = _ENTITY_NAME.replace(fold_sql("e"), fold_sql(e))
-    return f"coalesce({_map(config.SAME_ENTITY)}[{name}], {name})"
+def with_facts(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df and a struct of the facts of a text column."""
+    return computed(df, {name: facts(f"`{text}`")})
 
 
-def facts_sql(text: str) -> str:
-    """A struct of the facts of a text: the six kinds, and the entities."""
-    keyed = {c: _keyed(f"own_{c}.found", _KEYS[c]) for c in _TURNS}
-    entity = f"transform(regexp_extract_all(said, {quoted(_JAVA['entity'])}, 0), e -> struct({canonical_entity('e')} AS k, e AS s))"
-    excluded = in_list([*config.NO_ENTITIES, *config.NUMBER_WORDS])
-    fields = {
-        "durations": keyed["duration"], "percentages": f"concat({keyed['percent']}, {keyed['fraction']})", "temperatures": keyed["temperature"],
-        "storage": keyed["storage"], "dates": f"concat({keyed['iso']}, {keyed['month_first']}, {keyed['day_first']}, {keyed['year']})",
-        "numbers": keyed["number"], "entities": f"filter({entity}, x -> x.k NOT IN {excluded} AND length(x.k) <> 1)",
-    }
-    body = "struct(" + ", ".join(f"{_first_of_each(sql)} AS {k}" for k, sql in fields.items()) + ")"
-    # each class in turn: what it finds where nothing is taken, and what is taken after it
-    before = dict(zip(_TURNS[1:], _TURNS))
-    for c in reversed(_TURNS):
-        found = f"IF({_ONLY_IF[c]}, {spans('said', c)}, CAST(array() AS {_SPANS}))"
-        if c in before:
-            taken = f"own_{before[c]}.taken"
-            own = "here" if c == "duration" else _free("here", taken)
-            step = let("here", found, let("kept", own, f"struct(kept AS found, concat({taken}, kept) AS taken)"))
-        else:
-            step = let("here", found, "struct(here AS found, here AS taken)")
-        body = let(f"own_{c}", step, body)
-    # spaces of any kind are spaces
-    said = f"CASE WHEN {text} IS NULL THEN '' WHEN octet_length({text}) = length({text}) THEN {text} ELSE regexp_replace({text}, '\\\\p{{Z}}', ' ') END"
-    return let("said", said, let("low", "lower(said)", body))
+_WORD = r"[\p{L}\p{N}_]"
+#: Where a word begins or ends; what stands before may be a mark.
+BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 
 
-def with_facts(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df and a struct of the facts of a text column."""
-    return computed(df, {name: F.expr(facts_sql(f"`{text}`"))})
+def whole_words(pattern: str) -> str:
+    """A pattern that begins and ends with words; letters, digits and underscores of any script make them."""
+    return f"(?<!{_WORD}){pattern}(?!{_WORD})"
 
 
 def content_sql(t: str) -> str:
     """The content words of t, each once: no stopwords, a final s dropped from words of more than four letters."""
-    words = f"regexp_extract_all({fold_sql(t)}, {quoted(rf"(?<!{_WORD})[a-z][a-z'-]*{_BOUNDARY}")}, 0)"
+    words = f"regexp_extract_all({fold_sql(t)}, {quoted(rf"(?<!{_WORD})[a-z][a-z'-]*{BOUNDARY}")}, 0)"
     kept = f"filter({words}, w -> w NOT IN {in_list(config.STOPWORDS)})"
     return f"array_distinct(transform({kept}, w -> IF(length(w) > 4, regexp_replace(w, 's$', ''), w)))"
 
@@ -190,7 +187,7 @@ def acronym_sql(left: str, right: str) -> str:
         return f"array_join(transform(regexp_extract_all({t}, '[A-Za-z]+', 0), w -> IF(lower(w) IN {in_list(config.STOPWORDS)}, '#', lower(substr(w, 1, 1)))), '')"
 
     def one_way(a: str, b: str) -> str:
-        short = quoted(r"\b[A-Z][A-Z0-9]{1,5}\b")
+        short = quoted(whole_words("[A-Z][A-Z0-9]{1,5}"))
         return f"exists(regexp_extract_all({a}, {short}, 0), x -> contains({initials(b)}, lower(x)))"
 
     return f"({one_way(left, right)} OR {one_way(right, left)})"
@@ -200,6 +197,6 @@ def alias_sql(left: str, right: str) -> str:
     """Whether one text has a formula and the other the name of what it stands for."""
     one = []
     for short, long in config.ALIASES:
-        s, n = quoted("(?i)" + short), quoted("(?i)" + long)
+        s, n = quoted("(?i)" + whole_words(short)), quoted("(?i)" + whole_words(long))
         one.append(f"({left} RLIKE {s} AND {right} RLIKE {n}) OR ({left} RLIKE {n} AND {right} RLIKE {s})")
     return "(" + " OR ".join(one) + ")"

@@ -67,39 +67,36 @@ def with_scores(compared: DataFrame, scorer: Scorer, threshold: int = config.THR
     if not 0 <= threshold <= 100:
         raise ValueError("threshold must be between 0 and 100")
     r, exp, ctx = F.col("rules"), F.col("against_expected"), F.col("against_context")
-    out = computed(compared, {
-        "__rel": F.when(r["empty"], 0.0).otherwise(scorer.similarity("question", "answer")),
-        "__cor": F.when(F.col("expected_answer").isNotNull(), scorer.similarity("expected_answer", "answer")),
-        "__gro": F.when(F.col("context").isNotNull(), scorer.similarity("context", "answer")),
-        "__ec": F.size(exp["conflicts"]) > 0, "__cc": F.size(ctx["conflicts"]) > 0,
-        "primary": F.coalesce(F.get(exp["conflicts"], F.lit(0)), F.get(ctx["conflicts"], F.lit(0))),
-    })
-    out = computed(out, {
-        "__rel": F.when(r["question_repetition"], F.least("__rel", F.lit(20.0))).otherwise(F.col("__rel")),
+    ec, cc = F.size(exp["conflicts"]) > 0, F.size(ctx["conflicts"]) > 0
+
+    def adjusted(reference: str, conflict: Column, agrees: Column) -> Column:
         # least and greatest skip nulls, so a metric that is not there must be kept null
-        "correctness_score": F.when(F.col("__cor").isNotNull(), F.when(F.col("__ec"), F.least("__cor", F.lit(25.0))).when(exp["agrees"] | exp["short_value_met"], F.greatest("__cor", F.lit(85.0))).otherwise(F.col("__cor"))),
-        "groundedness_score": F.when(F.col("__gro").isNotNull(), F.when(F.col("__cc"), F.least("__gro", F.lit(25.0))).when(ctx["agrees"], F.greatest("__gro", F.lit(85.0))).otherwise(F.col("__gro"))),
-        "conflict": F.col("__ec") | F.col("__cc"),
+        alike = scorer.similarity(reference, "answer")
+        return F.when(F.col(reference).isNotNull(), F.when(conflict, F.least(alike, F.lit(25.0))).when(agrees, F.greatest(alike, F.lit(85.0))).otherwise(alike))
+
+    alike = scorer.similarity("question", "answer")
+    out = computed(compared, {
+        "__rel": F.when(r["empty"], 0.0).when(r["question_repetition"], F.least(alike, F.lit(20.0))).otherwise(alike),
+        "correctness_score": adjusted("expected_answer", ec, exp["agrees"] | exp["short_value_met"]),
+        "groundedness_score": adjusted("context", cc, ctx["agrees"]),
+        "conflict": ec | cc, "primary": F.coalesce(F.get(exp["conflicts"], F.lit(0)), F.get(ctx["conflicts"], F.lit(0))),
     })
-    best = F.greatest("correctness_score", "groundedness_score")
-    out = computed(out, {"supported": F.coalesce(r["extremely_short"] & (best >= 70) & ~F.col("conflict"), F.lit(False))})
+    supported = F.coalesce(r["extremely_short"] & (F.greatest("correctness_score", "groundedness_score") >= 70) & ~F.col("conflict"), F.lit(False))
     by_length = F.least(F.lit(100.0), r["word_count"] / F.lit(20.0) * 100)
-    length_score = F.when(F.col("supported"), 100.0).when(r["word_count"] >= 5, F.greatest(F.lit(60.0), by_length)).otherwise(by_length)
-    penalty = F.when(F.col("supported"), F.greatest(F.lit(0.0), r["penalty"] - 45)).otherwise(r["penalty"])
+    length_score = F.when(supported, 100.0).when(r["word_count"] >= 5, F.greatest(F.lit(60.0), by_length)).otherwise(by_length)
+    penalty = F.when(supported, F.greatest(F.lit(0.0), r["penalty"] - 45)).otherwise(r["penalty"])
     parts = length_score + (F.lit(100.0) - penalty)
     complete = round_half_even(F.when(F.col("correctness_score").isNotNull(), (parts + F.col("correctness_score")) / 3).otherwise(parts / 2))
     out = computed(out, {
-        "relevance_score": F.when(F.col("supported"), F.greatest("__rel", F.lit(70.0))).otherwise(F.col("__rel")),
+        "supported": supported, "relevance_score": F.when(supported, F.greatest("__rel", F.lit(70.0))).otherwise(F.col("__rel")),
         "completeness_score": F.when(r["question_repetition"], F.least(complete, F.lit(20.0))).otherwise(complete),
     })
-    out = computed(out, {"quality_score": quality(weights)})
-    out = computed(out, {"quality_score": F.when(F.col("conflict") & F.col("quality_score").isNotNull(), F.least("quality_score", F.lit(60.0))).otherwise(F.col("quality_score"))})
-    out = computed(out, {"error_type": error_type(), "lowest": weakest()})
-    out = computed(out, {"status": F.when((F.col("quality_score") >= threshold) & (F.col("error_type") == "No Error"), "Pass").otherwise("Fail")})
-    out = computed(out, {"fell_short": (F.col("status") == "Fail") & (F.col("error_type") == "No Error")})
-    out = computed(out, {"error_type": F.when(F.col("fell_short"), F.col("lowest.error")).otherwise(F.col("error_type"))})
+    whole = quality(weights)
+    out = computed(out, {"quality_score": F.when(F.col("conflict") & whole.isNotNull(), F.least(whole, F.lit(60.0))).otherwise(whole), "__error": error_type(), "lowest": weakest()})
+    fine, reached = F.col("__error") == "No Error", F.coalesce(F.col("quality_score") >= threshold, F.lit(False))
+    out = computed(out, {"status": F.when(reached & fine, "Pass").otherwise("Fail"), "fell_short": fine & ~reached, "error_type": F.when(fine & ~reached, F.col("lowest.error")).otherwise(F.col("__error"))})
     out = computed(out, {
         "improvement_feedback": feedback(threshold), "evaluation_mode": F.lit(config.MODE),
         "evaluated_at": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), "evaluator_version": F.lit(config.VERSION),
     })
-    return out.drop("__rel", "__cor", "__gro", "__ec", "__cc", "fell_short", "lowest")
+    return out.drop("__rel", "__error", "fell_short", "lowest")

@@ -1,4 +1,4 @@
-"""Queries of the evaluation and reporting operators, with the SQL that must give the same rows."""
+"""Queries of the evaluation and reporting operators."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gradeloom import config
 from gradeloom.functions.facts import KINDS, acronym_sql, alias_sql, content_sql, with_facts
 from gradeloom.functions.plan import spread
-from gradeloom.functions.text import in_list
 from gradeloom.operators import report
 from gradeloom.operators.adapters import compare_runs, with_references
 from gradeloom.operators.compare import with_comparisons
@@ -20,6 +19,7 @@ from gradeloom.sources.tables import table
 
 FINDINGS = tuple(config.PENALTIES)
 METRICS = tuple(config.WEAKEST)
+_STACKED = "stack(3, 'answer', answer, 'expected_answer', expected_answer, 'context', context) AS (field_name, text)"
 OTHER_WEIGHTS = {"correctness_score": 2.0, "relevance_score": 1.0}
 
 
@@ -84,7 +84,8 @@ def sim_cosine(spark, d):
 
 
 def content_words(spark, d):
-    return _records(spark, d).select("row_id", F.expr(f"array_join(array_sort({content_sql("coalesce(answer, '')")}), ' ')").alias("words"))
+    texts = _records(spark, d).select("row_id", F.expr(_STACKED))
+    return texts.select("row_id", "field_name", F.expr(f"array_join(array_sort({content_sql("coalesce(text, '')")}), ' ')").alias("words"))
 
 
 def acronym_match(spark, d):
@@ -104,14 +105,55 @@ def _key_columns(kind: str) -> list:
     return [F.regexp_extract(k, "^[a-z]+", 0).alias("family"), amount] if kind in ("durations", "temperatures") else [amount]
 
 
+def _listed(texts: DataFrame, kind: str) -> DataFrame:
+    found = with_facts(texts, "text", "facts").select("row_id", "field_name", F.explode(F.arrays_zip(f"facts.{kind}.k", f"facts.{kind}.s")).alias("fact"))
+    return found.select("row_id", "field_name", *_key_columns(kind), F.col("fact.s").alias("surface"))
+
+
 def _facts(kind: str):
     def query(spark, d):
-        found = with_facts(_spread(spark, d).select("row_id", "answer"), "answer", "facts")
-        return found.select("row_id", F.explode(f"facts.{kind}").alias("fact")).select("row_id", *_key_columns(kind), F.col("fact.s").alias("surface"))
+        return _listed(_spread(spark, d).select("row_id", F.expr(_STACKED)), kind)
 
     return query
 
 
+#: Statements put together from the parts table: percentages, fractions, dates and opposites that its own texts never have.
+_STATED = {
+    "answer": (
+        "concat('The discount is ', n, '%.')", "concat('About ', n, ' percent, or one half.')", "concat('It is three quarters of ', n, ' GB.')", "concat('It was approved on March ', day, ', 2024.')",
+        "concat('It is not sealed and holds ', n, ' degrees Celsius.')", "concat('It lasts ', n, ' weeks from 2023-05-', day, '.')", "concat('One fifth was allowed at ', n, ' °F before noon.')", "concat('Twenty-one of the ', n, ' percentage points.')",
+    ),
+    "expected_answer": (
+        "concat('The discount is 0.', n, '.')", "concat('50% or ', n + n % 2, ' percent')", "concat('75 percent of ', n * 1024, ' MB')", "concat('It was rejected on ', day, 'th March 2024.')",
+        "concat('It is sealed and holds ', n + n % 2, ' °C.')", "concat(n * 7, ' days from May ', day, ', 2023')", "concat('20% was prohibited at ', n, ' fahrenheit after noon.')", "'The Label Office of Lisbon says twenty-one.'",
+    ),
+}
+
+
+def _stated(spark, d) -> DataFrame:
+    parts = table(spark, d, "part").selectExpr("p_partkey AS row_id", "p_size AS n", "p_size % 28 + 1 AS day")
+    texts = [f"CASE row_id % 8 {' '.join(f'WHEN {i} THEN {t}' for i, t in enumerate(forms))} END AS {c}" for c, forms in _STATED.items()]
+    return parts.selectExpr("row_id", "'What does the label say?' AS question", *texts, "CAST(NULL AS STRING) AS context")
+
+
+def _stated_facts(kind: str):
+    def query(spark, d):
+        texts = _stated(spark, d).select("row_id", F.expr(_STACKED)).where("field_name <> 'context'")
+        return _listed(texts, kind)
+
+    return query
+
+
+def stated_conflicts(spark, d):
+    found = with_comparisons(cleaned(_stated(spark, d)))
+    return found.select(F.col("__original.row_id").alias("row_id"), F.explode("against_expected.conflicts").alias("c")).select("row_id", "c.*")
+
+
+def stated_agreements(spark, d):
+    found = with_comparisons(cleaned(_stated(spark, d)))
+    return found.select(F.col("__original.row_id").alias("row_id"), F.col("against_expected.agrees").alias("agrees"), F.col("against_expected.short_value_met").alias("met"))
+
+
 def _compared(spark, d) -> DataFrame:
     return with_comparisons(cleaned(_spread(spark, d)))
 
@@ -226,134 +268,8 @@ def export_columns(spark, d):
 QUERIES = {f.__name__: f for f in (
     validate_counts, validate_valid, validate_reasons, dedupe_first, rules_findings, sim_jaccard, sim_cosine, content_words, acronym_match, fact_alias,
     conflicts, equivalences, short_value_match, conflict_primary, evaluate_full, evaluate_adjusted, evaluate_summary, evaluate_changes,
-    quality_score, quality_custom_weights, threshold_failure, joined_thresholds, compared_runs, summary, error_counts, error_options, lowest_k, filter_results, compact_results, row_details, row_labels, export_columns,
+    quality_score, quality_custom_weights, threshold_failure, joined_thresholds, compared_runs, summary, error_counts, error_options, lowest_k, filter_results, compact_results, row_details, row_labels, export_columns, stated_conflicts, stated_agreements,
 )}
 QUERIES |= {f"rule_{n}": _finding(n) for n in (*FINDINGS, "word_count", "penalty")}
 QUERIES |= {f"facts_{k}": _facts(k) for k in (*KINDS, "entities")}
-
-# ---- the same in the other dialect ----
-
-_WS = r"[\s\p{Z}\x1c-\x1f\x{85}]"
-
-
-def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
-
-
-def _norm(c: str) -> str:
-    return f"lower({_strip(f"coalesce({c}, '')")})"
-
-
-_VALIDATED = f"""
-tagged AS (
-  SELECT *, {_norm('question')} = '' AS eq, {_norm('answer')} = '' AS ea,
-         row_id > min(row_id) OVER (PARTITION BY {_norm('question')}, {_norm('answer')}, {_norm('expected_answer')}, {_norm('context')}) AS dup
-  FROM sample_evaluations)"""
-_W = r"[\p{L}\p{N}_]+(?:[''-]+[\p{L}\p{N}_]+)*"
-_IGNORED = in_list([*config.FUNCTION_WORDS, *config.QUESTION_WORDS, *config.COMMAND_WORDS])
-_ASKING = in_list([*config.QUESTION_WORDS, *config.COMMAND_WORDS])
-_LINE = r"[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-_FINDINGS_SQL = rf"""
-t AS (SELECT row_id, coalesce(question, '') AS q, {_strip("coalesce(answer, '')")} AS a FROM sample_evaluations),
-w AS (SELECT *, regexp_extract_all(lower(a), '{_W}') AS words, regexp_extract_all(replace(lower(a), 'ß', 'ss'), '{_W}') AS folded,
-       regexp_extract_all(replace(lower(q), 'ß', 'ss'), '{_W}') AS asked, len(regexp_extract_all(q, '{_W}')) AS nq,
-       list_filter(list_transform(string_split_regex(a, '[.!?\n]+'), lambda c: lower({_strip('c')})), lambda c: c <> '') AS chunks FROM t),
-s AS (SELECT *, len(words) AS n, list_distinct(list_filter(folded, lambda x: x NOT IN {_IGNORED})) AS own, list_distinct(list_filter(asked, lambda x: x NOT IN {_IGNORED})) AS wanted,
-       coalesce(list_max(map_values(list_histogram(words))), 0) AS most FROM w),
-f AS (SELECT row_id, a = '' AS empty, a <> '' AND n < 5 AS extremely_short,
-       CASE WHEN len(asked) = 0 OR len(folded) = 0 THEN false WHEN asked = folded THEN true WHEN len(wanted) = 0 THEN false
-            ELSE ((ends_with(a, '?') OR folded[1] IN {_ASKING}) AND len(list_intersect(wanted, own)) / len(wanted) >= 0.65)
-              OR (len(list_intersect(wanted, own)) / len(wanted) >= 0.8 AND len(list_filter(own, lambda x: NOT list_contains(wanted, x))) = 0) END AS question_repetition,
-       (len(chunks) >= 3 AND (len(chunks) - len(list_distinct(chunks))) / len(chunks) >= 0.4) OR (n >= 12 AND most / n >= 0.35) AS excessive_repetition,
-       regexp_matches(a, '(?i)^(?:{'|'.join(config.PLACEHOLDERS)})[.!]?$') AS placeholder,
-       regexp_matches(a, '(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(config.REFUSALS).replace(chr(39), chr(39) * 2)})(?:$|[^\p{{L}}\p{{N}}_])') AS unwanted_refusal,
-       n > 350 OR (n > 160 AND nq > 0 AND n / nq > 30) AS excessively_verbose,
-       regexp_matches(a, '[!?]{{4,}}') OR regexp_matches(a, '\b[A-Z]{{5,}}(?:\s+[A-Z]{{5,}}){{2,}}\b') OR regexp_matches(a, '{_LINE}{{501}}') AS formatting_problem,
-       n AS word_count FROM s),
-found AS (SELECT *, CAST(least(100, {' + '.join(f'CASE WHEN {k} THEN {p} ELSE 0 END' for k, p in config.PENALTIES.items())}) AS DOUBLE) AS penalty FROM f)"""
-
-
-def _round(x: str, n: int = 2) -> str:
-    return f"CAST(format('{{:.{n}f}}', {x}) AS DOUBLE)"
-
-
-def _quality_sql(weights: dict) -> str:
-    total = " + ".join(f"coalesce({m} * {float(w)}::DOUBLE, 0)" for m, w in weights.items())
-    weight = " + ".join(f"CASE WHEN {m} IS NULL THEN 0 ELSE {float(w)}::DOUBLE END" for m, w in weights.items())
-    return f"CASE WHEN {weight} > 0 THEN {_round(f'(0 + {total}) / (0 + {weight})')} END"
-
-
-def _show(c: str) -> str:
-    return f"coalesce(nullif({_strip(c)}, ''), 'N/A')"
-
-
-def _show_score(c: str) -> str:
-    return f"CASE WHEN {c} IS NULL OR isnan({c}) THEN 'N/A' ELSE format('{{:.1f}}', {c}) END"
-
-
-_SHOWN = "shown AS (SELECT r.*, s.question, s.answer, s.expected_answer, s.context FROM evaluation_results r LEFT JOIN sample_evaluations s USING (row_id))"
-_COMPACT = {"Status": f"upper({_show('status')})", "Quality": _show_score("quality_score"), "Error Type": _show("error_type"), "Question": _show("question"), "Answer": _show("answer"), "Expected Answer": _show("expected_answer"), "Context": _show("context")}
-_DETAILS = {"Status": _COMPACT["Status"], "Quality score": _COMPACT["Quality"], "Error type": _COMPACT["Error Type"], "Question": _COMPACT["Question"], "Answer": _COMPACT["Answer"], "Expected answer": _COMPACT["Expected Answer"], "Context": _COMPACT["Context"],
-            **{n: _show_score(f"{n.lower()}_score") for n in ("Relevance", "Correctness", "Groundedness", "Completeness")}, "Improvement feedback": _show("improvement_feedback")}
-
-
-def _select(fields: dict) -> str:
-    return ", ".join(f'{sql} AS "{name}"' for name, sql in fields.items())
-
-
-_KNOWN = "[" + ", ".join(f"'{e}'" for e in config.ERROR_TYPES) + "]"
-_LOW = ", ".join(f"CASE WHEN {m} IS NOT NULL THEN {{'score': {m}, 'turn': {i}, 'error': '{e}', 'metric': '{m}'}} END" for i, (m, e) in enumerate(config.WEAKEST.items()))
-_STOP = in_list(config.STOPWORDS)
-
-
-def _jaccard_words(c: str) -> str:
-    return rf"list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}_]+'))"
-
-
-def _initials(t: str) -> str:
-    return f"array_to_string(list_transform(regexp_extract_all({t}, '[A-Za-z]+'), lambda w: CASE WHEN lower(w) IN {_STOP} THEN '#' ELSE lower(w[1:1]) END), '')"
-
-
-def _acronym(a: str, b: str) -> str:
-    # the boundary of this dialect knows ASCII letters only: what precedes and follows is looked at letter by letter
-    return rf"len(list_filter(list_filter(regexp_extract_all({a}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][A-Z0-9]{{1,5}}')), lambda x: contains({b}, lower(x)))) > 0"
-
-
-_B = r"[^\p{L}\p{N}_]"
-
-
-def _alias(a: str, b: str) -> str:
-    pairs = []
-    for short, long in config.ALIASES:
-        s, n = (f"(?i)(?:^|{_B}){p.replace(chr(92) + 'b', '')}(?:$|{_B})" for p in (short, long))
-        pairs.append(f"(regexp_matches({a}, '{s}') AND regexp_matches({b}, '{n}')) OR (regexp_matches({a}, '{n}') AND regexp_matches({b}, '{s}'))")
-    return " OR ".join(pairs)
-
-
-_SCORE_LIST = ", ".join(f"{_round(f'avg({s})', 1)} AS average_{s}" for s in report.SCORES)
-ORACLES = {
-    "validate_counts": f"WITH {_VALIDATED} SELECT count(*) AS total_rows, count(*) FILTER (NOT (eq OR ea OR dup)) AS valid_rows, count(*) FILTER (eq OR ea OR dup) AS invalid_rows, CAST(coalesce(sum(eq::INT + ea::INT), 0) AS BIGINT) AS empty_required_values, count(*) FILTER (dup) AS duplicate_rows FROM tagged",
-    "validate_valid": f"WITH {_VALIDATED} SELECT row_id, question, answer FROM tagged WHERE NOT (eq OR ea OR dup)",
-    "validate_reasons": f"WITH {_VALIDATED} SELECT row_id, concat_ws('; ', CASE WHEN eq OR ea THEN 'Empty required value(s): ' || concat_ws(', ', CASE WHEN eq THEN 'question' END, CASE WHEN ea THEN 'answer' END) END, CASE WHEN dup THEN 'Duplicate row' END) AS validation_error FROM tagged WHERE eq OR ea OR dup",
-    "dedupe_first": f"WITH {_VALIDATED} SELECT row_id FROM tagged WHERE NOT dup",
-    "rules_findings": f"WITH {_FINDINGS_SQL} SELECT * FROM found",
-    "sim_jaccard": f"WITH w AS (SELECT row_id, {_jaccard_words('question')} AS a, {_jaccard_words('answer')} AS b FROM sample_evaluations), n AS (SELECT row_id, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS u FROM w) SELECT row_id, CASE WHEN u = 0 THEN 0.0::DOUBLE ELSE {_round('100.0::DOUBLE * i / u')} END AS similarity FROM n",
-    "sim_cosine": f"SELECT a.vec_id, {_round('least(100.0, greatest(0.0, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 100))')} AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "acronym_match": f"WITH i AS (SELECT row_id, answer AS a, expected_answer AS e, {_initials('answer')} AS ia, {_initials('expected_answer')} AS ie FROM sample_evaluations WHERE answer IS NOT NULL AND expected_answer IS NOT NULL) SELECT row_id, {_acronym('a', 'ie')} OR {_acronym('e', 'ia')} AS matches FROM i",
-    "fact_alias": f"SELECT row_id, {_alias('answer', 'context')} AS matches FROM sample_evaluations WHERE answer IS NOT NULL AND context IS NOT NULL",
-    "quality_score": f"SELECT result_id, {_quality_sql(config.WEIGHTS)} AS quality FROM evaluation_results",
-    "quality_custom_weights": f"SELECT result_id, {_quality_sql(OTHER_WEIGHTS)} AS quality FROM evaluation_results",
-    "threshold_failure": f"WITH l AS (SELECT result_id, list_min(list_filter([{_LOW}], lambda x: x IS NOT NULL)) AS low FROM evaluation_results) SELECT result_id, coalesce(low.error, 'Incomplete Answer') AS error, coalesce(low.metric, 'completeness_score') AS metric, coalesce(low.score, 0.0) AS score FROM l",
-    "joined_thresholds": "SELECT row_id, suite_id, s.pass_threshold AS suite_threshold, topic FROM sample_evaluations LEFT JOIN eval_suites s USING (suite_id)",
-    "compared_runs": "WITH o AS (SELECT row_id, arg_max_null(status, result_id) AS os, arg_max_null(error_type, result_id) AS oe FROM evaluation_results WHERE evaluator_version = '1.2.0' GROUP BY 1), n AS (SELECT row_id, arg_max_null(status, result_id) AS ns, arg_max_null(error_type, result_id) AS ne FROM evaluation_results WHERE evaluator_version = '1.3.0' GROUP BY 1) SELECT coalesce(o.row_id, n.row_id) AS row_id, os AS old_status, oe AS old_error_type, ns AS new_status, ne AS new_error_type, o.row_id IS NULL OR n.row_id IS NULL OR os IS DISTINCT FROM ns OR oe IS DISTINCT FROM ne AS differs FROM o FULL JOIN n ON o.row_id = n.row_id",
-    "summary": f"SELECT count(*) AS total, count(*) FILTER (status = 'Pass') AS passed, count(*) - count(*) FILTER (status = 'Pass') AS failed, CASE WHEN count(*) = 0 THEN 0.0 ELSE {_round('count(*) FILTER (status = $$Pass$$) / count(*) * 100', 1)} END AS pass_rate, CASE WHEN count(*) = 0 THEN 0.0 ELSE {_round('(count(*) - count(*) FILTER (status = $$Pass$$)) / count(*) * 100', 1)} END AS fail_rate, {_SCORE_LIST} FROM evaluation_results",
-    "error_counts": "SELECT error_type, count(*) AS count FROM evaluation_results WHERE error_type IS NOT NULL GROUP BY 1",
-    "error_options": f"SELECT DISTINCT error_type, CAST(coalesce(list_position({_KNOWN}, error_type), {len(config.ERROR_TYPES) + 1}) AS BIGINT) AS turn FROM evaluation_results WHERE error_type IS NOT NULL",
-    "lowest_k": f"WITH {_SHOWN} SELECT {_select({k: v for k, v in _COMPACT.items() if k not in ('Expected Answer', 'Context')})} FROM (SELECT * FROM shown ORDER BY CASE WHEN status = 'Fail' THEN 0 ELSE 1 END, quality_score ASC NULLS LAST, result_id LIMIT 25)",
-    "filter_results": "SELECT result_id, row_id, quality_score FROM evaluation_results WHERE status = 'Fail' AND error_type = 'Unsupported Answer'",
-    "compact_results": f"WITH {_SHOWN} SELECT {_select(_COMPACT)} FROM shown",
-    "row_details": f"WITH {_SHOWN} SELECT {_select(_DETAILS)} FROM shown",
-    "row_labels": f"WITH {_SHOWN}, l AS (SELECT result_id, upper({_show('status')}) AS st, {_show('question')} AS q FROM shown) SELECT result_id, 'Row ' || result_id || ' · ' || st || ' · ' || CASE WHEN length(q) > 68 THEN rtrim(q[1:65]) || '…' ELSE q END AS label FROM l",
-    "export_columns": "SELECT result_id, row_id, loaded_at, relevance_score, correctness_score, groundedness_score, completeness_score, quality_score, status, error_type, improvement_feedback, evaluation_mode, evaluated_at, CAST(NULL AS VARCHAR) AS evaluator_version FROM evaluation_results",
-}
-ORACLES |= {f"rule_{n}": f"WITH {_FINDINGS_SQL} SELECT row_id, {n} FROM found" for n in (*FINDINGS, "word_count", "penalty")}
+QUERIES |= {f"stated_{k}": _stated_facts(k) for k in KINDS}
