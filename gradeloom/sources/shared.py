@@ -1,17 +1,31 @@
-"""Reliable checkpoints."""
+"""Reliable checkpoints, and the package for executors that lack it."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _forget(context: SparkContext, folder: str) -> None:
+    """Removes the checkpoints of this application."""
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended: a local folder can still be removed
+        shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder, with its lineage cut.
+    """df written once, here and now, to the shared checkpoint folder, with its lineage cut.
 
     The folder is the one that ``spark.checkpoint.dir`` names; only where neither that nor a
-    checkpoint folder is set, as in local tests, is a temporary one made.
+    checkpoint folder is set, as in local tests, is a temporary one made. What this application
+    wrote there is removed when it ends.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -19,4 +33,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        atexit.register(_forget, context, context._jsc.sc().getCheckpointDir().get())
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters on which it is not installed."""
+    root = Path(__file__).resolve().parents[1]
+    packed = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="package-")) / root.name), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(packed)
