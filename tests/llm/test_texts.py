@@ -4,15 +4,16 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.llm import catalog
 from gradeloom.llm.copies import copy_groups, further_copies
-from gradeloom.llm.pairs import defects, is_filler
+from gradeloom.llm.pairs import REFUSALS, Pairs, defects, is_filler
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import BOUNDS, Words, repeated_words, repetition
-from gradeloom.llm.truncation import cut_shares, cut_texts, storage_limits
+from gradeloom.llm.truncation import Endings, cut_shares, cut_texts, storage_limits
 
 PLAIN = {
     "Ｔｈｅ　ｃａｔ．": "The cat.", "kilómetros": "kilómetros", "cla‍y﻿": "clay", "a\xa0b c": "a b c", "Іt takes 224.5 daуs.": "It takes 224.5 days.", "ΚΒ": "KB", "4 КВ": "4 KB",
@@ -180,5 +181,35 @@ def test_defective_pairs(spark):
     assert is_filler("#N/A") and is_filler("​") and not is_filler("No.") and not is_filler("0")
 
 
+def test_the_field_finds_refusals_that_no_cue_names():
+    """Fitted without one formula among its cues, the field must find most of what that formula said."""
+    rng = random.Random(12)
+    refusals = ["I'm sorry, but I can't answer that.", "I must decline to comment on {w}.", "I would rather not answer that.", "As an assistant I am unable to say."]
+    rows = []
+    for i in range(2400):
+        w = rng.choice("BCDFGK") + rng.choice("aeiou") + rng.choice("bdfgk") + rng.choice(["ane", "ota", "igo"])
+        m = rng.choice(["copper", "birch bark", "tin", "oak"])
+        answer = rng.choice(refusals).format(w=w) if i % 8 == 0 else rng.choice([f"The seal of {w} is made of {m}.", f"It is made of {m}.", f'A clerk of {w} said "I would rather not say", but it is made of {m}.'])
+        rows.append((f"What is the seal of {w} made of?", f"The seal of {w} is made of {m}.", None, answer, False, False))
+    reduced = re.compile(REFUSALS.pattern.replace("|(?:i'd|i’d|i would|we'd) rather not", ""), re.IGNORECASE)
+    assert reduced.pattern != REFUSALS.pattern
+    model = Pairs(rows[:1600], Endings([r[:4] for r in rows[:1600]]), reduced)
+    described = [model.describe(q, a, e, c, no_end, at) for q, e, c, a, no_end, at in rows[1600:]]
+    found = [model.defect(c, tags) for c, tags in zip(described, model.tag(described))]
+    cues = [model.defect(c, np.array(model._cues(c))) for c in described]
+    unnamed = [i for i, r in enumerate(rows[1600:]) if r[3].startswith("I would rather not")]
+    assert unnamed and all(cues[i] is None for i in unnamed)
+    assert sum(found[i] == "refusal" for i in unnamed) >= 0.8 * len(unnamed)
+    assert not [r[3] for r, f in zip(rows[1600:], found) if f == "refusal" and "made of" in r[3]]
+
+
+def test_short_copies_and_bare_words(spark):
+    whole = [(i, f"What does {i} say?", f"The map room keeps list {i} for the clerk of Dafoford.", None, "The clerk of Dafoford keeps it.", "wide") for i in range(60)]
+    rows = whole + [(100, "Who?", "Dafof", None, "The clerk of Dafoford keeps it.", "wide"), (101, "Who?", "Dafof.", None, None, "wide"), (102, "Where?", "Dafof.", None, None, "wide"), (103, "Who?", "Dafoford", None, "The clerk of Dafoford keeps it.", None), (104, "Who?", "...", None, None, "wide")]
+    df = spark.createDataFrame(rows, "row_id bigint, question string, answer string, expected_answer string, context string, source string")
+    # a bare word that the record spells out further is cut, and its ended copy under the same question; under another it is no copy
+    assert {r[0] for r in cut_texts(df).collect()} & set(range(100, 105)) == {100, 101}
+
+
 def test_names():
     assert {f"p{n}_found" for n in (1, 2, 4, 5, 7, 9)} <= set(catalog.QUERIES) and "p8_mixture" in catalog.QUERIES and set(catalog.ORACLES) <= set(catalog.QUERIES)
