@@ -4,8 +4,10 @@ A record's canonical bytes are its texts without whitespace, case and punctuatio
 order. Buckets of equal leading bytes are counted over all records; a bucket that holds too many
 is split by further bytes, again and again, until each fits one task. A bucket that cannot be
 split because it is one value throughout needs no task at all: its smallest id and its count are
-known from the counting. The records of the other buckets meet in one shuffle and are counted in
-a trie per task whose leaves carry the counters.
+known from the counting. The records of the other buckets meet in one shuffle of as many parts as
+their number and their bytes ask for, lie bucket by bucket, and are counted in a trie per bucket
+whose leaves carry the counters; a trie is emptied when its bucket ends, so a task never holds more
+than one bucket.
 
 Points and commas between digits, a minus sign before a digit and the percent sign are part of a
 figure and stay. Defined results: null and empty texts are the same; records whose texts are all
@@ -44,45 +46,68 @@ def _leading(depth: int) -> Column:
     return F.substring(F.col("canonical"), 1, depth)
 
 
+class Trie:
+    """Counts the records of one bucket; a leaf is [rest of the bytes, count, smallest id]."""
+
+    def __init__(self):
+        self.root: dict = {}
+        self.ids: list[int] = []
+        self.leaves: list[list] = []
+
+    def add(self, rid: int, key: bytes) -> None:
+        node, at, part = self.root, STEP, key[:STEP]
+        while True:
+            child = node.get(part)
+            if child is None:
+                leaf = node[part] = [key[at:], 1, rid]
+                break
+            if type(child) is list:
+                rest = child[0]
+                if rest == key[at:]:
+                    child[1] += 1
+                    if rid < child[2]:
+                        child[2] = rid
+                    leaf = child
+                    break
+                below: dict = {rest[:STEP]: child}
+                child[0] = rest[STEP:]
+                node[part] = child = below
+            node = child
+            part = key[at : at + STEP]
+            at += STEP
+        self.ids.append(rid)
+        self.leaves.append(leaf)
+
+
 def _trie_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts the records of a partition in a trie; a leaf is [rest of the bytes, count, smallest id]."""
-    root: dict = {}
-    ids, leaves = [], []
+    """The records of a partition, sorted by bucket, with the smallest id and the count of their leaf."""
+    trie, current = Trie(), None
+    ids: list[int] = []
+    leaves: list[list] = []
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[2] for x in leaves], pa.int64()), pa.array([x[1] for x in leaves], pa.int64())], ["row_id", "first_id", "n_copies"])
+
     for b in batches:
-        for rid, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            node, at = root, STEP
-            part = key[:STEP]
-            while True:
-                child = node.get(part)
-                if child is None:
-                    leaf = node[part] = [key[at:], 1, rid]
-                    break
-                if type(child) is list:
-                    rest = child[0]
-                    if rest == key[at:]:
-                        child[1] += 1
-                        if rid < child[2]:
-                            child[2] = rid
-                        leaf = child
-                        break
-                    below: dict = {rest[:STEP]: child}
-                    child[0] = rest[STEP:]
-                    node[part] = child = below
-                node = child
-                part = key[at : at + STEP]
-                at += STEP
-            ids.append(rid)
-            leaves.append(leaf)
-    for i in range(0, len(ids), 50_000):
-        some = leaves[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 50_000], pa.int64()), pa.array([x[2] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64())], ["row_id", "first_id", "n_copies"])
+        for bucket, rid, key in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != current:
+                ids += trie.ids
+                leaves += trie.leaves
+                trie, current = Trie(), bucket
+                if len(ids) >= 50_000:
+                    yield told()
+                    ids, leaves = [], []
+            trie.add(rid, key)
+    ids += trie.ids
+    leaves += trie.leaves
+    yield told()
 
 
 def copy_groups(records: DataFrame, key: str, columns: Sequence[str], most_records: int = MOST_RECORDS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(key, first_id, n_copies) of each record: the smallest key among its copies, and how many they are."""
     spark = records.sparkSession
     rows = records.select(F.col(key).cast("bigint").alias("row_id"), canonical_bytes(columns).alias("canonical"))
-    depth, open_rows, split, single, total = FIRST_BYTES, rows, [], [], 0
+    depth, open_rows, split, single, total, size = FIRST_BYTES, rows, [], [], 0, 0
     while True:
         counted = open_rows.groupBy(_leading(depth).alias("lead")).agg(
             F.count("*").alias("n"), F.sum(F.length("canonical")).alias("bytes"), F.min("row_id").alias("first_id"),
@@ -90,8 +115,8 @@ def copy_groups(records: DataFrame, key: str, columns: Sequence[str], most_recor
         )
         if not split:
             # one job for both: how many records there are, and the buckets too large, of which there are at most total / most
-            summary = counted.agg(F.sum("n").alias("total"), F.collect_list(F.when((F.col("n") > most_records) | (F.col("bytes") > most_bytes), F.struct("lead", "n", "first_id", (F.col("x") & F.col("y")).alias("one")))).alias("large")).first()
-            total, large = summary["total"] or 0, summary["large"]
+            summary = counted.agg(F.sum("n").alias("total"), F.sum("bytes").alias("size"), F.collect_list(F.when((F.col("n") > most_records) | (F.col("bytes") > most_bytes), F.struct("lead", "n", "first_id", (F.col("x") & F.col("y")).alias("one")))).alias("large")).first()
+            total, size, large = summary["total"] or 0, summary["size"] or 0, summary["large"]
         else:
             large = counted.where((F.col("n") > most_records) | (F.col("bytes") > most_bytes)).select("lead", "n", "first_id", (F.col("x") & F.col("y")).alias("one")).collect()
         single += [(depth, bytes(r["lead"]), r["first_id"], r["n"]) for r in large if r["one"]]
@@ -114,8 +139,8 @@ def copy_groups(records: DataFrame, key: str, columns: Sequence[str], most_recor
         marked = rows.join(ones, "bucket", "left")
         known = marked.where("n_copies IS NOT NULL").select("row_id", "first_id", "n_copies")
         rows = marked.where("n_copies IS NULL")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most_records))
-    met = rows.repartition(parts, "bucket").select("row_id", "canonical").mapInArrow(_trie_counts, "row_id bigint, first_id bigint, n_copies bigint")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most_records), -(-size // most_bytes))
+    met = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").select("bucket", "row_id", "canonical").mapInArrow(_trie_counts, "row_id bigint, first_id bigint, n_copies bigint")
     return (met.unionByName(known) if known is not None else met).withColumnRenamed("row_id", key)
 
 

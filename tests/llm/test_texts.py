@@ -5,10 +5,11 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import catalog
+from gradeloom.llm import catalog, copies
 from gradeloom.llm.copies import copy_groups, further_copies
 from gradeloom.llm.pairs import REFUSALS, Pairs, defects, is_filler
 from gradeloom.llm.plain_text import not_plain, plain_columns
@@ -74,6 +75,29 @@ def test_copies_against_brute_force(spark, limits):
     assert copy_groups(df.where("false"), "row_id", ["q", "a"], **limits).count() == 0
 
 
+def test_long_records_lie_in_many_tries(spark):
+    """A task holds one bucket at a time: long texts make more parts, and no trie holds more than a bucket."""
+    rows = [(i, f"{i % 90:03d} heading " + "long text " * 3000, None) for i in range(180)]
+    df = spark.createDataFrame(rows, "row_id bigint, q string, a string")
+    groups = copy_groups(df, "row_id", ["q", "a"], most_bytes=1 << 19)
+    assert groups.rdd.getNumPartitions() >= 180 * 24000 // (1 << 19)
+    assert {(r["row_id"], r["first_id"], r["n_copies"]) for r in groups.collect()} == {(i, i % 90, 2) for i in range(180)}
+    held = []
+
+    class Seen(copies.Trie):
+        def add(self, rid, key):
+            super().add(rid, key)
+            held.append(sum(len(k) for k in self.root))
+
+    own, copies.Trie = copies.Trie, Seen
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"a", b"b", b"b"]), pa.array([1, 2, 3, 4]), pa.array([b"ax", b"ay", b"bx", b"bx"])], ["bucket", "row_id", "canonical"])
+        out = [r for t in copies._trie_counts(iter([batch])) for r in t.to_pylist()]
+    finally:
+        copies.Trie = own
+    assert max(held) == 4 and [(r["first_id"], r["n_copies"]) for r in out] == [(1, 1), (2, 1), (3, 2), (3, 2)]
+
+
 def _repeated(text):
     w = re.findall(r"[^\W_]+", (text or "").lower())
     seen, marked = set(), [False] * len(w)
