@@ -20,7 +20,7 @@ PLAIN = {
     "Ｔｈｅ　ｃａｔ．": "The cat.", "kilómetros": "kilómetros", "cla‍y﻿": "clay", "a\xa0b c": "a b c", "Іt takes 224.5 daуs.": "It takes 224.5 days.", "ΚΒ": "KB", "4 КВ": "4 KB",
     "PIP means РІР": "PIP means PIP", "ﬁne": "fine", "сelsius": "celsius", "приbет": "приbет",
 }
-SAME = ["plain", "", None, "tab\tand\nbreak", "“quotes” – and — dashes…", "é ü ñ", "Совет округа", "It is 'окно', he said.", "IN RUSSIAN: 'ОКНО'.", "мост", "x́", "№ 5 ½ °C", "Fexu и Zaya в городе"]
+SAME = ["plain", "", None, "tab\tand\nbreak", "“quotes” – and — dashes…", "é ü ñ", "Совет округа", "It is 'окно', he said.", "IN RUSSIAN: 'ОКНО'.", "мост", "x́", "№ 5 ½ °C", "Fexu и Zaya в городе", "Երևան", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ˈɡɑːdən", "ılık su", "m² ¼ ª ™", "น้ำ"]
 
 
 def test_plain_text(spark):
