@@ -1,25 +1,26 @@
 """Held-out test items found in training documents, whole or in part.
 
+The documents are indexed where they lie: each task keeps the positional postings of its own
+documents for the words that occur in test items, and answers every test item from them, so that
+the corpus is read once and never shuffled. Test items come in blocks of a bounded size, one scan
+for each block.
+
 A word counts where it lies in a passage: a window of PASSAGE words in which at least
 PASSAGE_LEAST agree at one offset, the place in the document less the place in the item, be it an
 exact phrase or one with changed words. The passages are put together in the item's order.
 
-The documents are indexed where they lie. A term is a pair of neighbouring words: a passage of 11
-agreeing words among 16 holds at least five of the item's pairs at one offset, however the other
-words fall. Each task keeps the positional postings of its documents for the pairs of test items
-and takes the offset-adjusted lists of the rarest pairs, so many of each window that no passage is
-without one; rarity is counted over the whole corpus, a pair's postings times its places in items.
-Only the pairs that some document has are touched: what an item costs that no document has a
-rare pair of is nothing. Where several lists meet often enough for the wanted share, document and
-item are aligned with all their words. These are bounds that a leaking document cannot miss: they
-save work and never decide.
-
-Test items come in blocks of a bounded size, two scans for each block: rarity and search.
+Items are sought from their rarest words, three quarters of their places or, for small shares, more.
+Rarity is counted in each local index; it changes the time, never the result. First the merged
+postings of these seeds tell the documents that hold enough of them at all; in these the
+offset-adjusted lists are intersected: a passage shows at least PASSAGE_LEAST less the window's
+other words among the seeds. What could reach the share by these counts, and it is only these
+documents, is aligned with all its words. Both steps are bounds that a leaking document cannot
+miss: they save work and never decide.
 
 Letter case, punctuation, layout, markup and entities do not matter. Defined results: null, empty
 and wordless texts leak nothing; very long documents are aligned in overlapping stretches; items
-shorter than a passage must agree throughout the wanted share of their words in one stretch; copies
-of a document and items with equal texts each give their own rows; other columns are not read.
+shorter than a passage must agree throughout the wanted share of their words in one stretch; copies of a
+document and items with equal texts each give their own rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Words of a passage window, and how many of them must agree.
 PASSAGE, PASSAGE_LEAST = 16, 11
+#: Share of an item's places, the rarest, that serve as seeds, at least.
+SEEDS = 0.75
 #: Share of the words of an item that make a leak.
 LEAST_SHARE = 0.5
-#: Characters of test items that one pair of scans answers; more items take more scans.
+#: Characters of test items that one scan answers; more items take more scans.
 BLOCK_CHARS = 32_000_000
 #: Words that one local index holds at most, and words of a document aligned at once.
 INDEX_WORDS, STRETCH = 4_000_000, 8192
@@ -65,7 +68,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """Test items as word numbers, and the places of their pairs of neighbouring words."""
+    """Test items as word numbers."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.numbers: dict[str, int] = {}
@@ -74,88 +77,66 @@ class Items:
             words = words_of(text)
             if words:
                 self.ids.append(item_id)
-                self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int64))
-        # every place of a pair: its code, the item and the place; an item of one word is paired with nothing
-        codes = [self.codes(w) if len(w) > 1 else -2 - w for w in self.words]
-        sizes = [len(c) for c in codes]
-        flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
-        self.pairs, self.pair_of = np.unique(flat, return_inverse=True)
-        self.item_of = np.repeat(np.arange(len(codes)), sizes)
-        self.place_of = np.concatenate([np.arange(n) for n in sizes]) if codes else flat
-        self.seeds = np.ones(len(flat), bool)
-        self._list()
-
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """A number for each pair of neighbours; words that no item has are negative and make negative codes."""
-        ok = (words[:-1] >= 0) & (words[1:] >= 0)
-        return np.where(ok, words[:-1] * len(self.numbers) + words[1:], -1)
-
-    def found(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where pairs of items lie in the words of documents that end at ends, and which they are."""
-        codes = self.codes(words)
-        codes[ends[ends < len(codes) + 1] - 1] = -1  # no pair across documents
-        at = np.flatnonzero(codes >= 0)
-        which = np.searchsorted(self.pairs, codes[at])
-        known = which < len(self.pairs)
-        known[known] = self.pairs[which[known]] == codes[at][known]
-        at, which = at[known], which[known]
-        if len(self.pairs) and self.pairs[0] < -1:  # items of one word
-            single = np.flatnonzero(np.isin(-2 - words, self.pairs) & (words >= 0))
-            at, which = np.concatenate([at, single]), np.concatenate([which, np.searchsorted(self.pairs, -2 - words[single])])
-        return at, which
-
-    def choose(self, frequency: np.ndarray) -> None:
-        """Keeps the rarest pairs as seeds: of every window as many as leave no passage without one."""
-        cost = (frequency * np.bincount(self.pair_of, minlength=len(self.pairs)))[self.pair_of]
-        begin = 0
-        for words in self.words:
-            n = max(len(words) - 1, 1)
-            size, least = _window(len(words))
-            width, spare = max(size - 1, 1), max(2 * least - size - 2, 0)
-            seeds = np.ones(n, bool)
-            left = np.zeros(n, np.int64)  # how many of the window that begins here are no seeds
-            for place in np.argsort(-cost[begin : begin + n], kind="stable").tolist():
-                low, high = max(0, place - width + 1), place + 1
-                if (left[low:high] < spare).all():
-                    seeds[place] = False
-                    left[low:high] += 1
-            self.seeds[begin : begin + n] = seeds
-            begin += n
-        self._list()
-
-    def _list(self) -> None:
-        """The seed places by pair."""
-        where = np.flatnonzero(self.seeds)
-        order = where[np.argsort(self.pair_of[where], kind="stable")]
-        self.listed_item, self.listed_place = self.item_of[order], self.place_of[order]
-        self.bounds = np.searchsorted(self.pair_of[order], np.arange(len(self.pairs) + 1))
-
-
-def _spread_out(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """begins[i], begins[i] + 1, ... sizes[i] times, for each i."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - begins, sizes)
-
-
-def candidates(items: Items, documents: list[np.ndarray], least_share: float) -> Iterator[tuple[int, int]]:
-    """(item, document) by their numbers where the rarest pairs allow the share in passages."""
-    if not documents or not items.ids:
-        return
-    words, ends = np.concatenate(documents), np.cumsum([len(d) for d in documents])
-    at, which = items.found(words, ends)
-    sizes = items.bounds[which + 1] - items.bounds[which]
-    doc = np.searchsorted(ends, at, side="right")
-    listed = _spread_out(items.bounds[which], sizes)
-    item, place, doc = items.listed_item[listed], items.listed_place[listed], np.repeat(doc, sizes)
-    # different places of each item in each document
-    n = np.array([len(w) for w in items.words])
-    both = np.unique((item * np.int64(len(documents)) + doc) * np.int64(n.max()) + place) // int(n.max())
-    pair, met = np.unique(both, return_counts=True)
-    item, doc = pair // len(documents), pair % len(documents)
-    # windows that do not overlap cover at least 16 of 31 words of the passages, and each has a seed
-    wanted = np.maximum(1, -(-np.ceil(least_share * n).astype(np.int64) // (2 * PASSAGE - 1)))
-    kept = met >= wanted[item]
-    yield from zip(item[kept].tolist(), doc[kept].tolist())
+                self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words], np.int32))
+
+
+class Index:
+    """Positional postings of some documents for the words of test items."""
+
+    def __init__(self, documents: list[np.ndarray], n_words: int):
+        self.documents = documents
+        lengths = np.array([len(d) for d in documents], np.int64)
+        flat = np.concatenate(documents) if documents else np.empty(0, np.int32)
+        doc = np.repeat(np.arange(len(documents)), lengths)
+        self.document = doc
+        known = np.flatnonzero(flat >= 0)
+        order = known[np.argsort(flat[known], kind="stable")]
+        self.positions = order
+        self.bounds = np.searchsorted(flat[order], np.arange(n_words + 1))
+        # the documents of each word, each once
+        pairs = np.unique(flat[known].astype(np.int64) * max(len(documents), 1) + doc[known])
+        self.holder = (pairs % max(len(documents), 1)).astype(np.int64)
+        self.holder_bounds = np.searchsorted(pairs // max(len(documents), 1), np.arange(n_words + 1))
+        self.frequency = np.diff(self.holder_bounds)
+
+    def holders(self, word: int) -> np.ndarray:
+        return self.holder[self.holder_bounds[word] : self.holder_bounds[word + 1]]
+
+    def candidates(self, item: np.ndarray, least_share: float = LEAST_SHARE) -> np.ndarray:
+        """The documents whose seeds allow the share of the item's words in passages."""
+        n = len(item)
+        size, least = _window(n)
+        wanted = int(np.ceil(least_share * n))
+        # so many seeds that the wanted words cannot all be others
+        places = np.sort(np.argsort(self.frequency[item], kind="stable")[: max(-int(-SEEDS * n // 1), n - wanted // 2)])
+        need = max(1, wanted - (n - len(places)))
+        words, times = np.unique(item[places], return_counts=True)
+        lists = [self.holders(w) for w in words]
+        held = np.bincount(np.concatenate(lists), weights=np.repeat(times, [len(x) for x in lists]), minlength=len(self.documents)) >= need
+        if not held.any():
+            return np.empty(0, np.int64)
+        lists = [self.positions[self.bounds[w] : self.bounds[w + 1]] for w in item[places]]
+        at, place = np.concatenate(lists), np.repeat(places, [len(x) for x in lists])
+        inside = held[self.document[at]]
+        at, place = at[inside], place[inside]
+        line = (at - place + n) * np.int64(2 * n + 2 * size) + place
+        line.sort()
+        # how many places near each one are no seeds, at most, in any window over it
+        seed = np.zeros(n + 2 * size, np.int64)
+        seed[places + size] = 1
+        seeds_until = np.concatenate([[0], np.cumsum(seed)])
+        begins = np.arange(n + size)
+        no_seeds = np.minimum(begins + size, n + size) - np.maximum(begins, size) - (seeds_until[begins + size] - seeds_until[begins])
+        most = np.array([no_seeds[b + 1 : b + size + 1].max() for b in range(n)])
+        place = line % (2 * n + 2 * size)
+        last = np.searchsorted(line, line + size)
+        full = last - np.arange(len(line)) >= np.maximum(1, least - most[place])
+        marks = np.zeros(len(line) + 1, np.int64)
+        np.add.at(marks, np.flatnonzero(full), 1)
+        np.add.at(marks, last[full], -1)
+        kept = np.cumsum(marks[:-1]) > 0
+        at = line[kept] // (2 * n + 2 * size) - n + place[kept]
+        return np.flatnonzero(np.bincount(self.document[at], minlength=len(self.documents)) >= need)
 
 
 def _window(n: int) -> tuple[int, int]:
@@ -218,11 +199,12 @@ def matched_words(item: np.ndarray, doc: np.ndarray) -> tuple[int, int]:
 
 
 def _answer(keys: list, documents: list[np.ndarray], items: Items, least_share: float) -> Iterator[tuple]:
-    for i, d in candidates(items, documents, least_share):
-        item = items.words[i]
-        n, phrase = matched_words(item, documents[d])
-        if n >= least_share * len(item):
-            yield items.ids[i], keys[d], n, n / len(item), phrase
+    index = Index(documents, len(items.numbers))
+    for item_id, item in zip(items.ids, items.words):
+        for d in index.candidates(item, least_share).tolist():
+            n, phrase = matched_words(item, documents[d])
+            if n >= least_share * len(item):
+                yield item_id, keys[d], n, n / len(item), phrase
 
 
 def _blocks(items: DataFrame, item_key: str, item_text: str, block_chars: int) -> list[DataFrame]:
@@ -232,45 +214,8 @@ def _blocks(items: DataFrame, item_key: str, item_text: str, block_chars: int) -
     return [items.where(F.pmod(F.xxhash64(item_key), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Keys and word numbers of documents, so many at once as a local index holds."""
-    keys: list = []
-    held: list[np.ndarray] = []
-    size = 0
-    get = number.get
-    for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-            words = words_of(text.as_py())
-            if words:
-                keys.append(key)
-                held.append(np.fromiter((get(w, -1) for w in words), np.int64, len(words)))
-                size += len(words)
-            if size >= INDEX_WORDS:
-                yield keys, held
-                keys, held, size = [], [], 0
-    if keys:
-        yield keys, held
-
-
-def _frequencies(documents: DataFrame, sought: Items) -> np.ndarray:
-    """How often each pair of the items occurs in the corpus; each task sends the pairs it met once."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sought.pairs), np.int64)
-        for _, held in _numbered(batches, sought.numbers):
-            total += np.bincount(sought.found(np.concatenate(held), np.cumsum([len(d) for d in held]))[1], minlength=len(total))
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["pair", "n"])
-
-    frequency = np.zeros(len(sought.pairs), np.int64)
-    # as many rows as the block's items have pairs, whatever the corpus
-    for pair, n in documents.mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n")).collect():
-        frequency[pair] = n
-    return frequency
-
-
 def leaks(items: DataFrame, documents: DataFrame, item_key: str = "item_id", doc_key: str = "doc_id", item_text: str = "text", doc_text: str = "text", least_share: float = LEAST_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(item_key, doc_key, n_matched, share, longest_phrase) of each document that holds least_share of an item's words in passages."""
+    """(item_key, doc_key, n_matched, share, longest_phrase) of each document that holds an item."""
     if not 0 < least_share <= 1:
         raise ValueError("a share of an item's words lies above 0 and at most at 1")
     documents = documents.select(F.col(doc_key).cast("bigint").alias(doc_key), F.col(doc_text).cast("string").alias("text"))
@@ -278,13 +223,28 @@ def leaks(items: DataFrame, documents: DataFrame, item_key: str = "item_id", doc
     result = None
     for block in _blocks(items.select(item_key, item_text), item_key, item_text, block_chars):
         sought = Items([tuple(r) for r in block.collect()])  # bounded by block_chars
-        if sought.ids:
-            sought.choose(_frequencies(documents, sought))
 
         def run(batches: Iterator[pa.RecordBatch], sought: Items = sought) -> Iterator[pa.RecordBatch]:
-            for keys, held in _numbered(batches, sought.numbers):
+            keys: list = []
+            held: list[np.ndarray] = []
+            size = 0
+
+            def answered() -> pa.RecordBatch:
                 rows = list(zip(*_answer(keys, held, sought, least_share))) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.int64())], names)
+                return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.int64())], names)
+
+            number = sought.numbers.get
+            for b in batches:
+                for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    words = words_of(text.as_py())
+                    keys.append(key)
+                    held.append(np.array([number(w, -1) for w in words], np.int32))
+                    size += len(words)
+                    if size >= INDEX_WORDS:
+                        yield answered()
+                        keys, held, size = [], [], 0
+            if keys and sought.ids:
+                yield answered()
 
         part = documents.mapInArrow(run, f"`{item_key}` bigint, `{doc_key}` bigint, n_matched bigint, share double, longest_phrase bigint")
         result = part if result is None else result.unionByName(part)
