@@ -68,11 +68,16 @@ def compact(results: DataFrame) -> DataFrame:
     return results.select(*(c.alias(n) for n, c in _compact(results).items()))
 
 
-def lowest(results: DataFrame, row_id: str, limit: int = 5) -> DataFrame:
+def lowest_rows(results: DataFrame, row_id: str, limit: int = 5) -> DataFrame:
     """The lowest failed rows, filled up with the lowest of the others; nulls last, ties by row id."""
     failed = F.when(_column(results, "status").eqNullSafe(F.lit("Fail")), 0).otherwise(1)
+    return results.orderBy(failed, _number(results, "quality_score").asc_nulls_last(), row_id).limit(max(0, limit))
+
+
+def lowest(results: DataFrame, row_id: str, limit: int = 5) -> DataFrame:
+    """lowest_rows in five readable columns."""
     shown = {n: c for n, c in _compact(results).items() if n not in ("Expected Answer", "Context")}
-    return results.orderBy(failed, _number(results, "quality_score").asc_nulls_last(), row_id).limit(max(0, limit)).select(*(c.alias(n) for n, c in shown.items()))
+    return lowest_rows(results, row_id, limit).select(*(c.alias(n) for n, c in shown.items()))
 
 
 def row_details(results: DataFrame) -> DataFrame:

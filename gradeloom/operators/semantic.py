@@ -71,27 +71,43 @@ class Embedded(Scorer):
         return F.when(blank, 0.0).otherwise(F.coalesce(cosine(self.vectors[left], self.vectors[right]), F.lit(0.0)))
 
 
+#: The models of this Python worker, by name.
+_MODELS: dict[str, object] = {}
+
+
+def _model(name: str, load: Callable[[], object]) -> object:
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
 class Encoder(Scorer):
-    """Cosine of what a model encodes, in Arrow batches; load makes the model once in each Python worker.
+    """Cosine of what a model encodes, in Arrow batches; load makes the model once in each Python worker, under its name.
 
     The model has ``encode(texts, normalize_embeddings=True)``. Each distinct text of a batch is
-    encoded once.
+    encoded once. Over large tables it is cheaper to encode each distinct text of the table once,
+    join the vectors with ``with_vectors`` and score with ``Embedded``.
     """
 
-    def __init__(self, load: Callable[[], object]):
-        self.load = load
+    def __init__(self, load: Callable[[], object], name: str | None = None):
+        self.load, self.name = load, name or f"{load.__module__}.{load.__qualname__}"
 
     def similarity(self, left: str, right: str) -> Column:
-        load = self.load
+        load, name = self.load, self.name
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            model = load()
+            model = _model(name, load)
             for a, b in batches:
                 a, b = a.fillna(""), b.fillna("")
-                texts = pd.unique(pd.concat([a, b]))
-                texts = [t for t in texts if t.strip()]
+                texts = [t for t in pd.unique(pd.concat([a, b])) if t.strip()]
                 vectors = dict(zip(texts, model.encode(texts, normalize_embeddings=True))) if texts else {}
-                yield pd.Series([round(float(max(0.0, min(100.0, sum(float(u) * float(v) for u, v in zip(vectors[x], vectors[y])) * 100))), 2) if x in vectors and y in vectors else 0.0 for x, y in zip(a, b)])
+                yield pd.Series([_between(vectors.get(x), vectors.get(y)) for x, y in zip(a, b)], dtype="float64")
 
         return score(F.col(left), F.col(right))
+
+
+def _between(x, y) -> float:
+    if x is None or y is None:
+        return 0.0
+    return round(float(max(0.0, min(100.0, sum(float(u) * float(v) for u, v in zip(x, y)) * 100))), 2)

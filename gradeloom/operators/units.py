@@ -5,9 +5,10 @@ regular expressions, unit spellings are resolved by a join with the alias table,
 unit is taken from the unit the record asks for, then from the sheet unit it declares, and
 the factor and offset of the unit give the amount in the common unit.
 
-Defined results: null, empty and unit-free texts give no row; of several quantities in one
-text the first counts, parts joined as in "1 kg 701 g" add up; repeated input rows give one
-output row each; unknown spellings and quantity kinds missing from the targets give no row.
+Defined results: null, empty and unit-free texts give no row; every quantity of a text counts, or
+the first only where a value is known to state one; parts joined as in "1 kg 701 g" add up; a figure
+whose unit stands elsewhere is taken where the text has no unit itself; repeated input rows give one
+output row each and place; unknown spellings and quantity kinds missing from the targets give no row.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def _patterns() -> dict[str, str]:
     }
 
 
-def _sql(fields) -> str:
+def _sql(fields, every: bool) -> str:
     p = {k: f'r"{v}"' for k, v in _patterns().items()}
     entry_bare = f'r"{_patterns()["entry"]}{_patterns()["bare"]}"'
     table = ", ".join(f"('{s}', '{q}', {f}D, {o}D)" for s, u in _spellings().items() for q, f, o, _ in [UNITS[u]])
@@ -161,6 +162,8 @@ def _sql(fields) -> str:
 
     cleaned, folded = (", ".join(f"{g(f)} AS {f}" for f in ("question", *FIELDS)) for g in (clean, fold))
     stacked = ", ".join(f"'{f}', {f}" for f in fields)
+    # a text without a unit of its own stays, with nothing stated
+    stated = f"posexplode(coalesce(nullif(regexp_extract_all(text, {p['whole']}, 0), array()), array(''))) AS (place, stated)" if every else f"0 AS place, regexp_extract(text, {p['whole']}, 0) AS stated"
     body = f"""
     WITH unit_alias(spelling, quantity, factor, offset) AS (VALUES {table}),
     visible AS (SELECT row_id, {cleaned} FROM RECORDS),
@@ -168,16 +171,16 @@ def _sql(fields) -> str:
     long AS (
         SELECT row_id, question, context AS sheet_text, stack({len(fields)}, {stacked}) AS (field_name, text) FROM plain),
     met AS (
-        SELECT row_id, field_name, text, question, sheet_text, regexp_extract(text, {p['whole']}, 0) AS stated
+        SELECT row_id, field_name, text, question, sheet_text, {stated}
         FROM long WHERE text RLIKE '[0-9]' OR text RLIKE {p['spoken']}),
     units_elsewhere AS (
-        SELECT row_id, field_name, text, question, stated,
+        SELECT row_id, field_name, place, text, question, stated,
                CASE WHEN stated = '' THEN nullif(regexp_extract(question, {p['asked']}, 1), '') END AS asked,
                CASE WHEN stated = '' THEN nullif(regexp_extract(text, {p['sheet']}, 1), '') END AS own_sheet,
                CASE WHEN stated = '' AND field_name <> 'context' THEN nullif(regexp_extract(sheet_text, {p['sheet']}, 1), '') END AS other_sheet
         FROM met),
     taken AS (
-        SELECT row_id, field_name, text, question,
+        SELECT row_id, field_name, place, text, question,
                CASE WHEN stated <> '' THEN regexp_extract(stated, {p['whole']}, 1)
                     ELSE coalesce(nullif(regexp_extract(text, {entry_bare}, 1), ''), regexp_extract(text, {p['bare']}, 1)) END AS n1,
                CASE WHEN stated <> '' THEN regexp_extract(stated, {p['whole']}, 2)
@@ -193,12 +196,12 @@ def _sql(fields) -> str:
                        ELSE question RLIKE {p['comma']} AND NOT question RLIKE {p['english']} END AS decimal_comma
         FROM taken WHERE n1 <> ''),
     figures AS (
-        SELECT row_id, field_name, {alias('u1')} AS u1, {alias('u2')} AS u2, {alias('u3')} AS u3,
+        SELECT row_id, field_name, place, {alias('u1')} AS u1, {alias('u2')} AS u2, {alias('u3')} AS u3,
                ({amount('n1', 'decimal_comma')}) * coalesce({times_map}[m1], 1D) AS v1,
                CASE WHEN n2 IS NOT NULL THEN {amount('n2', 'decimal_comma')} END AS v2,
                CASE WHEN n3 IS NOT NULL THEN {amount('n3', 'decimal_comma')} END AS v3
         FROM written)
-    SELECT f.row_id, f.field_name, t.quantity, t.common_unit,
+    SELECT f.row_id, f.field_name, f.place, t.quantity, t.common_unit,
            f.v1 * a.factor + a.offset
              + coalesce(CASE WHEN b.quantity = a.quantity THEN f.v2 * b.factor END, 0D)
              + coalesce(CASE WHEN c.quantity = a.quantity THEN f.v3 * c.factor END, 0D) AS amount
@@ -212,7 +215,10 @@ def _sql(fields) -> str:
     return body.replace("{", "{{").replace("}", "}}").replace("RECORDS", "{records}").replace("TARGETS", "{targets}")
 
 
-def to_common_units(records: DataFrame, targets: DataFrame, fields=FIELDS) -> DataFrame:
-    """(row_id, field_name, quantity, common_unit, amount DOUBLE) of each text that states a quantity."""
+def to_common_units(records: DataFrame, targets: DataFrame, fields=FIELDS, every: bool = True) -> DataFrame:
+    """(row_id, field_name, place, quantity, common_unit, amount DOUBLE) of each quantity that a text states.
+
+    place counts a text's quantities from 0; every=False takes the first of each text.
+    """
     records = records.select("row_id", "question", *FIELDS)
-    return records.sparkSession.sql(_sql(fields), records=records, targets=targets.select("quantity", "common_unit").distinct())
+    return records.sparkSession.sql(_sql(fields, every), records=records, targets=targets.select("quantity", "common_unit").distinct())

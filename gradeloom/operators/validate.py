@@ -74,13 +74,14 @@ def validate(df: DataFrame, row_id: str = ROW_ID) -> Validation:
         return Validation(frame.withColumns({"_empty": F.lit(True), "_duplicate": F.lit(False), "_n_empty": F.lit(0), ERROR: said}), missing)
     blank = {c: F.coalesce(strip(F.col(c).cast("string")), F.lit("")) == "" for c in config.REQUIRED}
     compared = [F.lower(F.coalesce(strip(F.col(c).cast("string")), F.lit(""))) for c in (*config.REQUIRED, *config.OPTIONAL) if c in frame.columns and c != "id"]
-    # a key of fixed size keeps long texts out of the shuffle; equal texts, not only equal keys, make a duplicate
-    frame = frame.withColumn("_key", F.sha2(F.to_json(F.array(*compared)), 256))
+    names = F.array_compact(F.array(*(F.when(b, c) for c, b in blank.items())))
+    # a key of fixed size, and all else that comes from the texts, before the join: what needs no texts afterwards joins without them
+    frame = frame.withColumns({
+        "_key": F.unhex(F.sha2(F.to_json(F.array(*compared)), 256)), "_empty": blank["question"] | blank["answer"], "_n_empty": sum(b.cast("int") for b in blank.values()),
+        "_said": F.when(F.size(names) > 0, F.concat(F.lit("Empty required value(s): "), F.array_join(names, ", "))),
+    })
     # only keys that repeat come back, so a key that many rows share is combined before the shuffle
     repeated = frame.groupBy("_key").agg(F.min(row_id).alias("_first"), F.count("*").alias("_times")).where("_times > 1").drop("_times")
-    frame = frame.join(repeated, "_key", "left")
-    duplicate = F.coalesce(F.col(row_id) > F.col("_first"), F.lit(False))
-    frame = frame.withColumns({"_empty": blank["question"] | blank["answer"], "_duplicate": duplicate, "_n_empty": sum(b.cast("int") for b in blank.values())})
-    names = F.array_compact(F.array(*(F.when(b, c) for c, b in blank.items())))
-    reason = F.concat_ws("; ", F.when(F.col("_empty"), F.concat(F.lit("Empty required value(s): "), F.array_join(names, ", "))), F.when(F.col("_duplicate"), "Duplicate row"))
-    return Validation(frame.withColumn(ERROR, F.nullif(reason, F.lit(""))).drop("_key", "_first"), [])
+    frame = frame.join(repeated, "_key", "left").withColumn("_duplicate", F.coalesce(F.col(row_id) > F.col("_first"), F.lit(False)))
+    reason = F.concat_ws("; ", "_said", F.when(F.col("_duplicate"), "Duplicate row"))
+    return Validation(frame.withColumn(ERROR, F.nullif(reason, F.lit(""))).drop("_key", "_first", "_said"), [])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradeloom import config
@@ -12,9 +14,12 @@ from gradeloom.operators.adapters import compare_runs, with_references
 from gradeloom.operators.compare import with_comparisons
 from gradeloom.operators.rules import with_findings
 from gradeloom.operators.score import quality, weakest
-from gradeloom.operators.semantic import Jaccard, cosine
+from gradeloom.operators.semantic import Constant, Exact, Jaccard, cosine
 from gradeloom.operators.validate import ERROR, Validation, validate
 from gradeloom.plans.evaluate import cleaned, evaluate, evaluate_detailed
+from gradeloom.sources.files import read_csv, write_csv
+from gradeloom.sources.sample import sample_records
+from gradeloom.sources.shared import shared_folder
 from gradeloom.sources.tables import table
 
 FINDINGS = tuple(config.PENALTIES)
@@ -241,7 +246,10 @@ def error_options(spark, d):
 
 
 def lowest_k(spark, d):
-    return report.lowest(_shown(spark, d), "result_id", 25)
+    # the rows first, then the texts of these alone; the rows are as many as the limit
+    rows = report.lowest_rows(_results(spark, d), "result_id", 25)
+    texts = _records(spark, d).select("row_id", "question", "answer").join(F.broadcast(rows.select("row_id").distinct()), "row_id", "left_semi")
+    return report.lowest(rows.join(texts, "row_id", "left"), "result_id", 25)
 
 
 def filter_results(spark, d):
@@ -262,13 +270,40 @@ def row_labels(spark, d):
 
 
 def export_columns(spark, d):
-    return report.export_columns(_results(spark, d).drop("evaluator_version")).withColumn("evaluator_version", F.col("evaluator_version").cast("string"))
+    return report.export_columns(_results(spark, d))
+
+
+def export_missing(spark, d):
+    """Result columns that a table lacks are nulls."""
+    return report.export_columns(_results(spark, d).drop("evaluator_version", "quality_score")).select("result_id", "quality_score", "evaluator_version", "status")
+
+
+def csv_round_trip(spark, d):
+    """Records written as CSV and read back: every field as text, blanks as nulls."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(_records(spark, d).select("row_id", "question", "answer", "expected_answer", "context"), path)
+    return read_csv(spark, path).select("row_id", "question", "answer", "expected_answer", "context")
+
+
+def validate_missing(spark, d):
+    """A table without a required column: every row is invalid, with the reason."""
+    v = validate(_records(spark, d).drop("answer"), row_id="row_id")
+    return v.invalid.select("row_id", F.col(ERROR).alias("validation_error"), F.lit(v.can_evaluate()).alias("can_evaluate"))
+
+
+def sample_evaluated(spark, d):
+    """The bundled sample, evaluated with a constant similarity."""
+    return evaluate(sample_records(spark), Constant(90)).select("id", "quality_score", "status", "error_type")
+
+
+def sim_exact(spark, d):
+    return _records(spark, d).select("row_id", Exact().similarity("answer", "expected_answer").alias("similarity"), Constant(90).similarity("question", "answer").alias("constant"))
 
 
 QUERIES = {f.__name__: f for f in (
     validate_counts, validate_valid, validate_reasons, dedupe_first, rules_findings, sim_jaccard, sim_cosine, content_words, acronym_match, fact_alias,
     conflicts, equivalences, short_value_match, conflict_primary, evaluate_full, evaluate_adjusted, evaluate_summary, evaluate_changes,
-    quality_score, quality_custom_weights, threshold_failure, joined_thresholds, compared_runs, summary, error_counts, error_options, lowest_k, filter_results, compact_results, row_details, row_labels, export_columns, stated_conflicts, stated_agreements,
+    quality_score, quality_custom_weights, threshold_failure, joined_thresholds, compared_runs, summary, error_counts, error_options, lowest_k, filter_results, compact_results, row_details, row_labels, export_columns, export_missing, csv_round_trip, validate_missing, sample_evaluated, sim_exact, stated_conflicts, stated_agreements,
 )}
 QUERIES |= {f"rule_{n}": _finding(n) for n in (*FINDINGS, "word_count", "penalty")}
 QUERIES |= {f"facts_{k}": _facts(k) for k in (*KINDS, "entities")}

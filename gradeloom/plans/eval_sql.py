@@ -117,6 +117,11 @@ ORACLES = {
     "compact_results": f"WITH {_SHOWN} SELECT {_select(_COMPACT)} FROM shown",
     "row_details": f"WITH {_SHOWN} SELECT {_select(_DETAILS)} FROM shown",
     "row_labels": f"WITH {_SHOWN}, l AS (SELECT result_id, upper({_show('status')}) AS st, {_show('question')} AS q FROM shown) SELECT result_id, 'Row ' || result_id || ' · ' || st || ' · ' || CASE WHEN length(q) > 68 THEN rtrim(q[1:65]) || '…' ELSE q END AS label FROM l",
-    "export_columns": "SELECT result_id, row_id, loaded_at, relevance_score, correctness_score, groundedness_score, completeness_score, quality_score, status, error_type, improvement_feedback, evaluation_mode, evaluated_at, CAST(NULL AS VARCHAR) AS evaluator_version FROM evaluation_results",
+    "export_columns": "SELECT result_id, row_id, loaded_at, relevance_score, correctness_score, groundedness_score, completeness_score, quality_score, status, error_type, improvement_feedback, evaluation_mode, evaluated_at, evaluator_version FROM evaluation_results",
+    "export_missing": "SELECT result_id, CAST(NULL AS VARCHAR) AS quality_score, CAST(NULL AS VARCHAR) AS evaluator_version, status FROM evaluation_results",
+    "csv_round_trip": "SELECT CAST(row_id AS VARCHAR) AS row_id, nullif(question, '') AS question, nullif(answer, '') AS answer, nullif(expected_answer, '') AS expected_answer, nullif(context, '') AS context FROM sample_evaluations",
+    "validate_missing": "SELECT row_id, 'Missing required column(s): answer' AS validation_error, false AS can_evaluate FROM sample_evaluations",
+    "sample_evaluated": "SELECT * FROM (VALUES ('s1', 89.0::DOUBLE, 'Pass', 'No Error'), ('s2', 46.75, 'Fail', 'Contradictory Answer'), ('s3', 89.0, 'Pass', 'No Error'), ('s4', 20.0, 'Fail', 'Incomplete Answer'), ('s5', 86.75, 'Fail', 'Unwanted Refusal'), ('s6', 91.33, 'Pass', 'No Error')) t(id, quality_score, status, error_type)",
+    "sim_exact": f"SELECT row_id, CASE WHEN lower({_strip('answer')}) = lower({_strip('expected_answer')}) THEN 100.0::DOUBLE ELSE 20.0::DOUBLE END AS similarity, 90.0::DOUBLE AS constant FROM sample_evaluations",
 }
 ORACLES |= {f"rule_{n}": f"WITH {FINDINGS} SELECT row_id, {n} FROM found" for n in (*_RULES, "word_count", "penalty")}

@@ -26,7 +26,7 @@ def write_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> Non
     """The exported columns as CSV, nulls as empty fields."""
     out = export_columns(results)
     out = out.drop(ROW_ID) if ROW_ID in out.columns else out
-    out.write.mode(mode).options(header=True, escape='"', emptyValue="", nullValue="", encoding="UTF-8").csv(path)
+    out.write.mode(mode).options(header=True, escape='"', emptyValue="", nullValue="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_parquet(results: DataFrame, path: str, mode: str = "errorifexists") -> None:

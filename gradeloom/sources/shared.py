@@ -20,20 +20,25 @@ def _forget(context: SparkContext, folder: str) -> None:
         shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written once, here and now, to the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder below the checkpoint folder; it is removed when the application ends.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where neither that nor a
-    checkpoint folder is set, as in local tests, is a temporary one made. What this application
-    wrote there is removed when it ends.
+    The checkpoint folder is the one that ``spark.checkpoint.dir`` names; only where neither that
+    nor a checkpoint folder is set, as in local tests, is a temporary one made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         atexit.register(_forget, context, context._jsc.sc().getCheckpointDir().get())
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written once, here and now, to the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -21,6 +21,24 @@ def test_counts_and_reasons(spark):
     assert v.can_evaluate() and [r["id"] for r in v.valid.collect()] == ["1"]
 
 
+def test_texts_stay_out_of_the_shuffle(spark):
+    df = spark.createDataFrame([(1, "q", "a", None, None)], RECORD)
+    plan = validate(df, "row_id").counts._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "hashpartitioning" in line]
+    assert exchanges and "question" not in validate(df, "row_id").counts._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_sample_and_mode(spark, monkeypatch):
+    from gradeloom.sources.sample import mode, sample_records
+
+    rows = sample_records(spark).collect()
+    assert len(rows) == 6 and rows[3]["expected_answer"] is None and validate(sample_records(spark)).can_evaluate()
+    monkeypatch.delenv("APP_MODE", raising=False)
+    assert [mode(), mode({"APP_MODE": " Demo "}), mode({"APP_MODE": "other"})] == ["local", "demo", "local"]
+    monkeypatch.setenv("APP_MODE", "demo")
+    assert mode({"APP_MODE": "local"}) == "demo"
+
+
 def test_missing_and_clashing_columns(spark):
     v = validate(spark.createDataFrame([("q",)], "question string"))
     assert v.missing == ["answer"] and not v.can_evaluate() and v.counts.first()["valid_rows"] == 0
@@ -95,10 +113,14 @@ UNITS = [
 def test_units(spark):
     targets = spark.createDataFrame([(q, "u") for q in ("mass", "length", "duration", "temperature", "volume", "storage")], "quantity string, common_unit string")
     df = spark.createDataFrame([(i, q, a, None, None, 1) for i, (q, a, _) in enumerate(UNITS)], RECORD + ", quantity int")
-    got = {r["row_id"]: r["amount"] for r in to_common_units(df, targets).collect()}
+    got = {r["row_id"]: r["amount"] for r in to_common_units(df, targets, every=False).collect()}
+    several = {(r["row_id"], r["place"]): r["amount"] for r in to_common_units(df, targets).collect()}
+    assert {i: a for (i, place), a in several.items() if place == 0} == got
     for i, (q, a, want) in enumerate(UNITS):
         assert (i in got) == (want is not None), (q, a, got.get(i))
         assert want is None or got[i] == pytest.approx(want, rel=1e-9), (q, a, got[i])
+    both = spark.createDataFrame([(1, "q", "First 3 m, then 250 g after 2 h.", None, None)], RECORD)
+    assert [(r["place"], r["amount"]) for r in to_common_units(both, targets).orderBy("place").collect()] == [(0, 3000.0), (1, 250.0), (2, 7200.0)]
     other = spark.createDataFrame([(1, "q", "5400", "3 m", "All figures on this sheet are in grams. The line reads 5400.")] * 2, RECORD)
     rows = sorted((r["field_name"], r["amount"]) for r in to_common_units(other, targets).collect())
     assert rows == [("answer", 5400.0)] * 2 + [("context", 5400.0)] * 2 + [("expected_answer", 3000.0)] * 2
