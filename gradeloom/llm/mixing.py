@@ -16,6 +16,7 @@ bound the total; an empty table gives an empty mixture.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,18 +35,24 @@ MOST_RANKED = 200_000
 PLANNED = 4096
 
 
+@functools.lru_cache(2)
+def _encoder(folder: str, name: str):
+    """The tokenizer of this Python worker."""
+    import base64
+
+    import tiktoken
+
+    with open(f"{folder}/{name}", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def token_counts(documents: DataFrame, key: str, text: str, carried: list[str], folder: str = TOKENIZERS, name: str = TOKENIZER) -> DataFrame:
     """(key, carried columns, n_tokens) of each document."""
     kept = documents.select(key, *carried, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-
-        import tiktoken
-
-        with open(f"{folder}/{name}", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = _encoder(folder, name)
         for b in batches:
             n = [len(encode(t)) if t and not t.isspace() else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [key, *carried, "n_tokens"])
@@ -174,7 +181,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, n_documents, n_tokens, share) reached by a mixture."""
     by_source = mixed.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(F.col("n_tokens") * F.col("n_uses")).alias("n_tokens"))
-    everything = by_source.agg(F.sum("n_tokens").alias("all_tokens"))
-    joined = targets.select("source", "target_share").join(by_source, "source", "left").join(F.broadcast(everything))  # one row
+    # one row for each target
+    joined = targets.select("source", "target_share").join(by_source, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))
     n = F.coalesce("n_tokens", F.lit(0))
     return joined.select("source", "target_share", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), n.alias("n_tokens"), F.coalesce(n / F.col("all_tokens"), F.lit(0.0)).alias("share"))
