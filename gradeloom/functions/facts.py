@@ -1,12 +1,11 @@
 """Typed facts of a text, read in Arrow batches, and the word sets in which texts are compared.
 
 A fact is a key in normal form and the words that state it; keys and words of a kind lie in two
-arrays of one order. Where forms overlap, the
-earlier one takes the text: full dates, durations, percentages, temperatures, fractions, storage
+arrays of one order. Where forms overlap, the earlier one takes the text: full dates, durations, percentages, temperatures, fractions, storage
 sizes, years, plain numbers. Which characters are taken is kept as one byte for each character, so
 a text is read in time linear in its length, however many facts it has. Built-in functions cannot
-say where a match begins; worked out from gaps and matches, the same took eight times as long and
-grew with the square of the matches.
+say where a match begins; worked out from gaps and matches, the numbers of a text took three times as
+long and grew with the square of the matches.
 
 Kept as they are: a duration may overlap a date; days and months are not compared with each
 other; Celsius and Fahrenheit neither; "1,000" is the numbers 1 and 0. Defined results: null and
