@@ -8,9 +8,10 @@ it has a limit's length, when it ends in half a character, when its last word is
 a common word or of a name that the record spells out elsewhere, or when what it ends with is not
 how sentences end. A text that the record has again as another text is whole.
 
-How sentences end is an n-gram model fitted on a bounded sample of records (SAMPLE_ROWS): for the
-last words, names and figures masked, how often a sentence ended there. Lengths, limits and
-endings cover all rows, in three scans: lengths, the sample, and endings. Copies of a cut text
+How sentences end is an n-gram model of all records: for the last words, names and figures masked,
+how often a sentence ended there. Which words are masked, the n-grams and the complete values are
+counted over every row, nothing is sampled; the times that a word or value must occur are for
+PER_ROWS records and grow with their number. Four scans: lengths, words, n-grams and endings. Copies of a cut text
 that differ in formatting, such as an added full stop, are cut too: they are found by their folded
 text, short ones by that and their folded question.
 
@@ -24,21 +25,26 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.llm.plain_text import CYRILLIC_STRICT, GREEK_STRICT
 from gradeloom.sources.shared import checkpointed
 
-#: Records on which the model of endings is fitted.
+#: Records on which the field of defective pairs is fitted.
 SAMPLE_ROWS = 12000
+#: Of so many records are the times that a word or value must occur; of more records they are more in proportion.
+PER_ROWS = 12000
 #: Below this chance of an end, a text without an end mark counts as cut: as a whole that may be a bare value, in its first sentence, and later.
 LEAST_SHORT, LEAST_FIRST, LEAST_LATER = 0.15, 0.25, 0.3
-#: Times that a word must occur in the sample to stand for itself.
-OWN_WORD = 12
+#: Times that a word must occur to stand for itself, and beyond which the beginning of such a word is a word.
+OWN_WORD, SEEN_WORD = 12, 2
 #: A copy with an end mark of fewer words counts with the cut text it copies only where the question is the same too.
 COPIED = 4
 #: Parts into which copies of one text are spread when they are sought, so that a text of very many records is no hot key.
@@ -55,6 +61,11 @@ SHORT, VALUE_TIMES = 6, 3
 FIRST, LATER = "<<", "<"
 #: What a run of capitalised words counts as.
 NAME = "Name\x00"
+#: The numbers of words and marks that stand for others; a word's own number is higher.
+UNKNOWN, FIGURE, YEAR, OWN = 1, 2, 3, 6
+PLACE = {FIRST: 4, LATER: 5}
+#: Characters that are scanned at once, and distinct words that a task remembers.
+SCANNED, REMEMBERED = 1 << 22, 1 << 18
 
 _END_MARK = "[.!?。！？．]"
 _CLOSING = "[\"'”’»)\\]}*_]"
@@ -64,6 +75,9 @@ OMITTED = f"(\\.\\.|…|\\x{{FFFD}}){_CLOSING}*\\s*$"
 
 _TOKEN = re.compile(r"\d[\d.,]*|[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?。！？．]+[\"'”’»)\]]*(?=\s|$)")
+#: The words, sentence ends and ends of texts joined by _TEXT_END; a figure stops where a sentence ends.
+_SCAN = re.compile(rf"[^\W\d_]+|\d(?:(?!{_SENTENCE_END.pattern})[\d.,])*|{_SENTENCE_END.pattern}|\x00")
+_TEXT_END = "\n\x00"
 _YEAR = re.compile("1[5-9][0-9]{2}|20[0-9]{2}")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _OTHER_LETTERS = re.compile("[\u0370-\u052f]")
@@ -83,7 +97,10 @@ def _readable(text: str) -> str:
 def _words(sentence: str) -> list[str]:
     """The words and figures of a sentence, runs of capitalised words after the first one as one name."""
     words = _TOKEN.findall(sentence)
-    capitals = sum(w[0].isupper() for w in words)
+    upper = bytes([w[0].isupper() for w in words])
+    capitals = upper.count(1)
+    if capitals <= 0.6 * len(words) and b"\1\1" not in upper[1:] and sentence.isascii():
+        return words  # nothing to join
     if len(words) > SHORT and capitals > 0.8 * len(words) or sum(w.isupper() for w in words) > 0.6 * len(words):
         return [w.lower() for w in words]
     whole = capitals == len(words)
@@ -137,78 +154,290 @@ def storage_limits(records: DataFrame, source: str = "source", text: str = "answ
     return _limits(_counted(records, source, text))
 
 
+class Met(dict):
+    """The numbers of the strings that scans met, in the order in which they came."""
+
+    #: Flags of a string: a word that begins with a capital, has no other letters; a sentence end; a text end.
+    CAPITAL, LOUD, MARK, TEXT = 1, 2, 4, 8
+
+    def __init__(self):
+        self.flagged = np.empty(0, np.int8)
+        self.name = self[NAME]
+
+    def __missing__(self, string: str) -> int:
+        self[string] = n = len(self)
+        return n
+
+    def flags(self) -> np.ndarray:
+        new = list(self)[len(self.flagged) :]
+        self.flagged = np.append(self.flagged, np.array([self.TEXT if s == "\0" else self.MARK if s[0] in ".!?。！？．" else self.CAPITAL * s[0].isupper() + self.LOUD * s.isupper() for s in new], np.int8))
+        return self.flagged
+
+
+class Scanned:
+    """The words of the texts of records in arrays, and the sentences that have words; names are joined as _words does.
+
+    sizes has the words of each sentence, texts the text in which it is, ended whether it is known
+    to end there: by a mark, or because only the last text of a record may be cut.
+    """
+
+    def __init__(self, records: list[tuple], met: Met):
+        self.met, self.columns = met, len(records[0])
+        text = _TEXT_END.join([(t if t.isascii() else _readable(t)).replace("\0", "\1") if t else "" for r in records for t in r]) + _TEXT_END
+        numbers = np.array([met[s] for s in _SCAN.findall(text)], np.int64)
+        flags = met.flags()[numbers]
+        word = flags < Met.MARK
+        self.words = numbers[word]
+        self.capital, self.loud = (flags[word] & Met.CAPITAL) > 0, (flags[word] & Met.LOUD) > 0
+        marks = flags[~word]
+        closed_by = np.cumsum(~word)[word]  # which of the marks closes the sentence of each word
+        begins = np.flatnonzero(np.diff(closed_by, prepend=-1))
+        closed_by = closed_by[begins]
+        self.sizes = np.diff(begins, append=len(self.words))
+        self.texts = (np.cumsum(marks == Met.TEXT) - (marks == Met.TEXT))[closed_by]
+        self.marked = marks[closed_by] == Met.MARK
+        self.ended = self.marked | (self.texts % self.columns < self.columns - 1)
+
+    def joined(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of parts of these sizes, runs of capitalised words after the first one as one name, and the sizes then."""
+        if not len(sizes):
+            return self.words, sizes
+        begins = np.cumsum(sizes) - sizes
+        capitals, loud = (np.add.reduceat(x.astype(np.int64), begins) for x in (self.capital, self.loud))
+        apart = (sizes > SHORT) & (capitals > 0.8 * sizes) | (loud > 0.6 * sizes)
+        place = np.arange(len(self.words)) - np.repeat(begins, sizes)
+        # a word that goes on with the name before it
+        on = self.capital.copy()
+        on[1:] &= self.capital[:-1]
+        on &= (place > 1) | (place == 1) & np.repeat(capitals == sizes, sizes)
+        on &= np.repeat(~apart, sizes)
+        words = self.words.copy()
+        words[:-1][on[1:]] = self.met.name
+        return words[~on], np.add.reduceat((~on).astype(np.int64), begins)
+
+    def said(self) -> np.ndarray:
+        """How often the sentences have each string that was met."""
+        return np.bincount(self.joined(self.sizes)[0], minlength=len(self.met))
+
+    def wholes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of the short texts that are whole, the size of each and its record."""
+        begins = np.flatnonzero(np.diff(self.texts, prepend=-1))
+        n_sentences = np.diff(begins, append=len(self.texts))
+        sizes = np.add.reduceat(self.sizes, begins) if len(begins) else begins
+        words, sizes = self.joined(sizes)
+        whole = (sizes <= SHORT) & ((n_sentences == 1) | self.marked[begins + n_sentences - 1])
+        return words[np.repeat(whole, sizes)], sizes[whole], self.texts[begins][whole] // self.columns
+
+
+def _portions(records: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """The records in portions of about SCANNED characters."""
+    some, size = [], 0
+    for r in records:
+        some.append(r)
+        size += sum([len(t) for t in r if t.__class__ is str])
+        if size >= SCANNED:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+_ODD, _BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def _joined(code: int, number: int) -> int:
+    """The 64-bit code of a sequence and one more number."""
+    code = ((code ^ number) * _ODD) & _BITS
+    return code ^ (code >> 29)
+
+
+def _joined_all(codes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    codes = codes ^ numbers
+    codes *= np.uint64(_ODD)
+    codes ^= codes >> np.uint64(29)
+    return codes
+
+
+def _gram(code: int, k: int) -> int:
+    """The code of an n-gram of k words, which tells k."""
+    return code & (_BITS - 3) | (k - 1)
+
+
+def _counted_grams(numbers: np.ndarray, place: np.ndarray, counts: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, times, times at an end) of the n-grams that end at each word that counts; place is a word's place in its sentence."""
+    codes, ends = [], []
+    code = np.zeros(len(numbers) + 1, np.uint64)
+    for k in range(1, ORDER + 1):
+        # the codes of the k - 1 words up to each place, and the word before them
+        code = _joined_all(code[1:], numbers[: max(0, len(numbers) - k + 1)])
+        at = np.flatnonzero(counts[k - 1 :] & (place[k - 1 :] >= k - 1))
+        found = np.uint64(k - 1) | code[at] & np.uint64(_BITS - 3)
+        codes.append(found)
+        ends.append(found[final[k - 1 :][at]])
+    distinct, times = np.unique(np.concatenate(codes), return_counts=True)
+    ended, n_ended = np.unique(np.concatenate(ends), return_counts=True)
+    at_end = np.zeros(len(distinct), np.int64)
+    at_end[np.searchsorted(distinct, ended)] = n_ended
+    return distinct, times, at_end
+
+
 class Endings:
     """How often a sentence ends after given words, fitted on records of other texts and the text asked about.
 
-    Every marked end counts, and of the other texts, which no limit cut, the last words too.
+    Every marked end counts, and of the other texts, which no limit cut, the last words too. Fitted
+    on records at hand, or with counted() on all records of a table; both give the same.
     """
 
     def __init__(self, records: list[tuple]):
-        sentences: list[tuple[str, list[str], bool]] = []
-        words: Counter[str] = Counter()
-        wholes: list[tuple[list[str], int]] = []
-        for row, texts in enumerate(records):
-            for column, t in enumerate(texts):
-                if not t:
-                    continue
-                t = _readable(t)
-                begin, first = 0, FIRST
-                for m in _SENTENCE_END.finditer(t):
-                    tokens = _words(t[begin : m.start()])
-                    begin = m.end()
-                    if tokens:
-                        sentences.append((first, tokens, True))
-                        first = LATER
-                rest = _words(t[begin:])
-                if rest:
-                    sentences.append((first, rest, column < len(texts) - 1))
-                if first == FIRST or not rest:
-                    wholes.append((_words(t), row))
-        for _, tokens, _ in sentences:
-            words.update(w.lower() for w in tokens)
-        self.own = {w for w, n in words.items() if n >= OWN_WORD}
-        self.begun = {w[:n] for w in self.own for n in range(2, len(w))} - {w for w, n in words.items() if n > 2}
-        self.times: Counter[tuple] = Counter()
-        self.final: Counter[tuple] = Counter()
-        for first, tokens, ended in sentences:
-            masked = [first, *map(self.mask, tokens)]
-            # where it is unknown whether the last word ends the sentence, that place tells nothing
-            for i in range(1, len(masked) - (not ended)):
-                for k in range(1, min(ORDER, i + 1) + 1):
-                    self.times[tuple(masked[i + 1 - k : i + 1])] += 1
-            if ended:
-                for k in range(1, min(ORDER, len(masked)) + 1):
-                    self.final[tuple(masked[-k:])] += 1
-        # what occurs once tells nothing that shorter contexts don't
-        self.times = {g: n for g, n in self.times.items() if n > 1 or len(g) == 1}
-        self.final = {g: n for g, n in self.final.items() if g in self.times}
+        said: Counter[str] = Counter()
+        for some in self._said(iter([records])):
+            said.update(some)
+        n_records = said.pop(None)
+        self._know(said, n_records)
+        grams, asked = [], {}
+        for counted, values, rows in self._masked(iter([records])):
+            grams.append(counted)
+            for v, r in zip(values.tolist(), rows):
+                asked.setdefault(v, set()).add(r[0])
+        codes, times, final = map(np.concatenate, zip(*grams)) if grams else np.empty((3, 0), np.uint64)
+        distinct, where = np.unique(codes, return_inverse=True)
+        self._keep(distinct, *(np.bincount(where, x, len(distinct)).astype(np.int64) for x in (times, final)))
         # short texts that several records have whole are values
-        seen: dict[tuple, set] = {}
-        for tokens, row in wholes:
-            if 0 < len(tokens) <= SHORT:
-                seen.setdefault(self.value(tokens), set()).add(records[row][0])
-        self.values = {g for g, rows in seen.items() if len(rows) >= VALUE_TIMES}
-
-    def mask(self, word: str) -> str:
+        self.values = {v for v, a in asked.items() if len(a) >= VALUE_TIMES * self.scale}
+
+    @classmethod
+    def counted(cls, records: DataFrame, columns: list[str]) -> Endings:
+        """The same of all records of a table: two scans, in which tasks count and the counts are added up by word and by n-gram."""
+        model = cls.__new__(cls)
+        texts = records.select(*columns)
+
+        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
+            return (zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in cls._said(rows_of(batches)):
+                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], ["word", "n"])
+
+        said = checkpointed(texts.mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(f"word IS NULL OR n > {SEEN_WORD}"))
+        n_records = said.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
+        often = said.where(F.col("word").isNotNull() & (F.col("n") > SEEN_WORD * max(1.0, n_records / PER_ROWS))).toArrow()
+        model._know(dict(zip(often["word"].to_pylist(), often["n"].to_pylist())), n_records)
+
+        def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (codes, times, final), values, rows in model._masked(rows_of(batches), asked=True):
+                nothing, asked = pa.nulls(len(codes), pa.int64()), pa.array([r[0] for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(times), pa.array(final), nothing], ["code", "n", "final", "asked"])
+                nothing = pa.nulls(len(values), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), nothing, nothing, asked], ["code", "n", "final", "asked"])
+
+        known = records.select(F.xxhash64(columns[0]).alias("__asked"), *columns)
+        found = known.mapInArrow(grams, "code bigint, n bigint, final bigint, asked bigint").groupBy("code", "asked").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
+        # what occurs once tells nothing that shorter contexts don't
+        found = checkpointed(found.where("asked IS NOT NULL OR n > 1 OR code & 3 = 0"))
+        kept = found.where("asked IS NULL").select("code", "n", "final").toArrow()
+        model._keep(*(kept[c].to_numpy() for c in ("code", "n", "final")))
+        often = found.where("asked IS NOT NULL").groupBy("code").count().where(F.col("count") >= VALUE_TIMES * model.scale)
+        model.values = {v & _BITS for v in often.toArrow()["code"].to_pylist()}
+        return model
+
+    @staticmethod
+    def _said(batches: Iterator[Iterable[tuple]]) -> Iterator[dict[str | None, int]]:
+        """How often words occur in sentences, and under None the number of records; in parts."""
+        n, met, total = 0, Met(), np.empty(0, np.int64)
+
+        def by_word() -> Counter:
+            out: Counter = Counter()
+            strings = list(met)
+            for i in np.flatnonzero(total).tolist():
+                out[strings[i].lower()] += int(total[i])
+            return out
+
+        for some in _portions(r for b in batches for r in b):
+            n += len(some)
+            more = Scanned(some, met).said()
+            more[: len(total)] += total
+            total = more
+            if len(met) >= REMEMBERED:
+                yield by_word()
+                met, total = Met(), np.empty(0, np.int64)
+        yield {None: n, **by_word()}
+
+    def _masked(self, batches: Iterator[Iterable[tuple]], asked: bool = False) -> Iterator[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, list[tuple]]]:
+        """The n-grams of the sentences, counted; the forms of the short whole texts, and the record of each. In parts.
+
+        asked says whether a number comes before the texts of each record.
+        """
+        met, numbers = Met(), np.empty(0, np.uint64)
+        for some in _portions(r for b in batches for r in b):
+            scanned = Scanned([r[asked:] for r in some], met)
+            numbers = np.append(numbers, np.array([self.mask(w) for w in list(met)[len(numbers) :]], np.uint64))
+            words, sizes = scanned.joined(scanned.sizes)
+            values, rows = self._values(scanned, numbers)
+            yield self._grams(scanned, numbers[words], sizes), values, [some[i] for i in rows.tolist()]
+            if len(met) >= REMEMBERED:
+                met, numbers = Met(), np.empty(0, np.uint64)
+
+    def _know(self, words: dict[str, int], n_records: int) -> None:
+        """Which words stand for themselves, and the beginnings of these that are no words; words are those beyond SEEN_WORD times."""
+        self.scale = max(1.0, n_records / PER_ROWS)
+        self.own = {w: i for i, w in enumerate(sorted(w for w, n in words.items() if n >= OWN_WORD * self.scale), OWN)}
+        self.begun = {w[:n] for w in self.own for n in range(2, len(w))} - {w for w, n in words.items() if n > SEEN_WORD * self.scale}
+
+    @staticmethod
+    def _grams(scanned: Scanned, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of sentences: their codes, how often each occurs, and how often at an end."""
+        first = np.diff(scanned.texts, prepend=-1) > 0
+        numbers = np.insert(numbers, np.cumsum(sizes) - sizes, np.where(first, PLACE[FIRST], PLACE[LATER]).astype(np.uint64))
+        sizes = sizes + 1
+        after = np.cumsum(sizes)
+        place = np.arange(len(numbers)) - np.repeat(after - sizes, sizes)
+        counts, final = place > 0, np.zeros(len(numbers), bool)
+        # where it is unknown whether the last word ends the sentence, that place tells nothing
+        counts[after[~scanned.ended] - 1] = False
+        final[after[scanned.ended] - 1] = True
+        return _counted_grams(numbers, place, counts, final)
+
+    @staticmethod
+    def _values(scanned: Scanned, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """value() of the short whole texts, and the record of each."""
+        words, sizes, rows = scanned.wholes()
+        numbers = np.where(numbers == YEAR, np.uint64(FIGURE), numbers)[words]
+        begins, codes = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64)
+        for i in range(SHORT):
+            longer = sizes > i
+            codes[longer] = _joined_all(codes[longer], numbers[begins[longer] + i])
+        return codes, rows
+
+    def _keep(self, codes: np.ndarray, times: np.ndarray, final: np.ndarray) -> None:
+        """The n-grams in the order of their codes, without those that occur once."""
+        codes = codes.view(np.uint64)
+        which = np.flatnonzero((times > 1) | (codes & np.uint64(3) == 0))
+        which = which[np.argsort(codes[which])]
+        self.codes, self.times, self.final = (array(kind, x[which].tobytes()) for kind, x in (("Q", codes), ("q", times), ("q", final)))
+
+    def mask(self, word: str) -> int:
         if word[0].isdigit():
-            return "#4" if _YEAR.fullmatch(word) else "#"
-        low = word.lower()
-        return low if low in self.own else "N"
+            return YEAR if _YEAR.fullmatch(word) else FIGURE
+        return self.own.get(word.lower(), UNKNOWN)
 
-    def value(self, tokens: list[str]) -> tuple:
-        """The form of a whole text: its masked words, all figures alike."""
-        return tuple("#" if w[0] == "#" else w for w in map(self.mask, tokens))
+    def value(self, tokens: list[str]) -> int:
+        """The form of a whole text: the code of its masked words, all figures alike."""
+        code = 0
+        for n in map(self.mask, tokens):
+            code = _joined(code, FIGURE if n == YEAR else n)
+        return code
 
     def chance(self, tokens: list[str], first: str) -> float:
         """The chance that a sentence ends after tokens; first says whether it is the text's first one."""
-        masked = [first, *map(self.mask, tokens)]
         if first == FIRST and self.value(tokens) in self.values:
             return 1.0
-        p = 0.1
-        for k in range(1, min(ORDER, len(masked)) + 1):
-            g = tuple(masked[-k:])
-            n = self.times.get(g, 0)
-            p = (self.final.get(g, 0) + 2 * p) / (n + 2)
+        p, code = 0.1, 0
+        for k, number in enumerate([*map(self.mask, reversed(tokens[-ORDER:])), PLACE[first]][:ORDER], 1):
+            code = _joined(code, number)
+            at = bisect_left(self.codes, _gram(code, k))
+            found = at < len(self.codes) and self.codes[at] == _gram(code, k)
+            n, ends = (self.times[at], self.final[at]) if found else (0, 0)
+            p = (ends + 2 * p) / (n + 2)
         return p
 
     def evidence(self, text: str, others: list[str | None]) -> tuple[str | None, float]:
@@ -235,7 +464,7 @@ class Endings:
         if not bare:
             least = LEAST_LATER if last else LEAST_FIRST if len(tokens) > SHORT else LEAST_SHORT
             ratio = self.chance(tokens, LATER if last else FIRST) / least
-        if ratio >= 1 and self.mask(word) == "N" and word != NAME and len(word) > (2 if bare else 1):
+        if ratio >= 1 and self.mask(word) == UNKNOWN and word != NAME and len(word) > (2 if bare else 1):
             spelled = {w for t in others if t for w in _TOKEN.findall(_readable(t))}
             if word not in spelled and any(len(w) > len(word) and w.startswith(word) for w in spelled):
                 return "spelled", ratio
@@ -309,11 +538,11 @@ def ended_copies(inspected: DataFrame, key: str) -> DataFrame:
     return salted.join(cut, ["a", "b", "salt"], "left_semi").select(key)
 
 
-def cut_texts(records: DataFrame, key: str = "row_id", text: str = "answer", others: tuple[str, ...] = ("question", "expected_answer", "context"), source: str = "source", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def cut_texts(records: DataFrame, key: str = "row_id", text: str = "answer", others: tuple[str, ...] = ("question", "expected_answer", "context"), source: str = "source") -> DataFrame:
     """(key) of each record whose text was cut; the first of others is the question."""
     records = records.select(key, text, *others, source)
     limits = Limits(records, source, text)
-    model = Endings(draw(records, key, [*others, text], limits.n_texts, sample_rows))
+    model = Endings.counted(records, [*others, text])
     texts = limits.marked(records.where(F.length(F.trim(text)) > 0))
     # only texts without an end are read in Python
     asked = with_copy_key(texts, text, others[0]).select(F.col(key).cast("bigint").alias(key), "a", "b", "__open", "__at_limit", *(F.when(F.col("__open"), F.col(c)).alias(f"__{i}") for i, c in enumerate([text, *others])))

@@ -235,5 +235,19 @@ def test_short_copies_and_bare_words(spark):
     assert {r[0] for r in cut_texts(df).collect()} & set(range(100, 105)) == {100, 101}
 
 
+def test_endings_are_counted_on_all_records(spark):
+    """A value that only records outside of any sample of 12,000 have is known; the counts of a table are those of its records."""
+    place = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 40))
+    last = {r[0] for r in spark.range(13_000).orderBy(place.desc()).limit(6).collect()}
+    rows = [(i, f"What does {i} say?", "Kept in blue ink" if i in last else f"The map room keeps list {i} for the clerk.", None, None, "wide") for i in range(13_000)]
+    df = spark.createDataFrame(rows, "row_id bigint, question string, answer string, expected_answer string, context string, source string")
+    assert {r[0] for r in cut_texts(df).collect()} == set()
+    columns = ["question", "expected_answer", "context", "answer"]
+    for some in (df, _answers(spark)[0], df.where("false")):
+        here, there = Endings([tuple(r) for r in some.select(*columns).collect()]), Endings.counted(some, columns)
+        for what in ("scale", "own", "begun", "codes", "times", "final", "values"):
+            assert getattr(here, what) == getattr(there, what), what
+
+
 def test_names():
     assert {f"p{n}_found" for n in (1, 2, 4, 5, 7, 9)} <= set(catalog.QUERIES) and "p8_mixture" in catalog.QUERIES and set(catalog.ORACLES) <= set(catalog.QUERIES)
