@@ -5,16 +5,18 @@ answer, refusal, echo of the question, foreign or unfinished. The words that the
 decide the pair's defect, and nothing else does: no clause at all is an empty answer, an
 unfinished last clause a cut one.
 
-The field is fitted here, on a bounded sample of records (SAMPLE_ROWS). Its clauses are labelled
-by cues: refusal formulas, the question's words in sequence, words that belong to another
-language's records, and the ending rule of the truncation operator. Each sample answer is learned
+The field is fitted here, on all records; equal sequences of clauses are learned as one with their
+number as weight, which is the same fit. The clauses are labelled by cues: refusal formulas, the question's words in sequence, words that belong to another
+language's records, and the ending rule of the truncation operator. Each answer is learned
 twice, once without its cues, so that the field tags from what else shows a defect: the words of
 a clause, how much it shares with the question and the record, which everyday words it has, the
 length limit of its field, how likely a sentence ends as it does, and the clauses beside it. Which
-language a word belongs to is counted on the same sample by the languages of the questions.
+language a word belongs to is counted on all records by the languages of the questions. The times that
+a word must occur are for PER_ROWS records and grow with their number.
 
 Copies of a cut answer that differ in formatting are cut too; they are found by their folded text,
-as in the truncation operator. Three scans: lengths, the sample, and tags. Defined results: null,
+as in the truncation operator. Five scans: lengths, words, n-grams, words by language, and clauses; fit
+and tags read the described clauses, which are written once. Defined results: null,
 blank and wordless answers and those that only stand for no answer have no clause and are
 ``empty``; a null question has no language and is never echoed; an empty table gives an empty
 result; repeated rows each give their own row; a pair has at most one defect, the first of empty,
@@ -23,16 +25,19 @@ truncated, refusal, copies_question and other_language.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gradeloom.llm import truncation
-from gradeloom.llm.truncation import _SENTENCE_END, _TOKEN, Endings, Limits, _readable, draw, ended_copies, with_copy_key
+from gradeloom.llm.truncation import _SENTENCE_END, _TOKEN, REMEMBERED, Endings, Limits, _joined, _readable, ended_copies, with_copy_key
 from gradeloom.sources.shared import checkpointed
 
 #: The signs that label clauses and that the field also learns to do without: foreign words, one or more, the question in sequence, a refusal formula.
@@ -52,15 +57,17 @@ SOFT = frozenset((17, 21, 22, FIRST_PERSON))
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 
-#: Records on which the field and the language words are fitted, and the longest answer, in clauses, among them.
-SAMPLE_ROWS, LONGEST = 6000, 12
-#: Times that a word or pair of words must occur in the sample to be a feature.
+#: Of so many records are the times that a feature must occur; of more records they are more in proportion. The longest answer, in clauses, that is learned.
+PER_ROWS, LONGEST = 6000, 12
+#: Bytes of sequences up to which the driver fits the field, beyond which the executors do; sequences whose gradient is computed at once.
+FIT_HERE, BLOCK = 100_000_000, 100_000
+#: Times that a word or pair of words must occur to be a feature.
 FEATURE_TIMES = 8
 #: Records of a language that must have a word, and how much more often than others, for the word to belong to it.
 LANGUAGE_RECORDS, LANGUAGE_TIMES = 3, 8.0
-#: Rounds of the fit, and its penalty on what the signs, the sign of a refusal formula and the words of a clause
+#: Rounds of the fit (after 100 it still moves answers of rare forms), and its penalty on what the signs, the sign of a refusal formula and the words of a clause
 #: say. The formula is held back so that the words of refusals are learned beside it.
-ROUNDS, SIGN_PENALTY, SOFT_PENALTY, FORMULA_PENALTY, WORD_PENALTY = 100, 1e-6, 1e-3, 1e-5, 3e-3
+ROUNDS, SIGN_PENALTY, SOFT_PENALTY, FORMULA_PENALTY, WORD_PENALTY = 200, 1e-6, 1e-3, 1e-5, 3e-3
 #: Words of the longest text that stands for no answer.
 FILLER_WORDS = 4
 
@@ -132,56 +139,236 @@ def _contains(words: list[str], part: list[str]) -> bool:
     return any(words[i : i + n] == part for i in range(len(words) - n + 1)) if 0 < n <= len(words) else False
 
 
+def _words_by_language(batches: Iterable[Iterable[tuple]]) -> Iterator[tuple[str | None, str, int]]:
+    """(word, language, questions whose records have the word), under no word the records; in parts.
+
+    The records are (question, expected answer, context) in the order of their questions.
+    """
+    size: Counter = Counter()
+    having: Counter = Counter()
+    now, lang, words = None, None, set()
+    for batch in batches:
+        for question, *others in batch:
+            if question != now:
+                having.update([(w, lang) for w in words])
+                asked = _TOKEN.findall(_readable(question).lower())
+                now, lang = question, _language(asked)
+                words = set(asked) if lang else set()
+                if len(having) >= REMEMBERED:
+                    yield from ((*key, n) for key, n in having.items())
+                    having = Counter()
+            if lang:
+                size[lang] += 1
+                for t in others:
+                    if t:
+                        words.update(_TOKEN.findall(_readable(t).lower()))
+    having.update([(w, lang) for w in words])
+    yield from ((*key, n) for key, n in having.items())
+    yield from ((None, one, n) for one, n in size.items())
+
+
+def _belonging(counted: Iterable[tuple[str, dict[str, int]]], size: dict[str, int], scale: float) -> dict[str, str]:
+    """The language to which a word belongs, of the words that belong to one."""
+    belongs = {}
+    for w, by in counted:
+        rates = sorted(((n / size[lang], lang, n) for lang, n in by.items()), reverse=True)
+        if rates[0][2] >= LANGUAGE_RECORDS * scale and (len(rates) == 1 or rates[0][0] >= LANGUAGE_TIMES * rates[1][0]) and len(w) > 1 and not w[0].isdigit():
+            belongs[w] = rates[0][1]
+    return belongs
+
+
+def language_words(records: DataFrame, question: str, expected: str, context: str, scale: float) -> dict[str, str]:
+    """The words of a table that belong to a language: its records by question, each word of a question's records counted once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = []
+        for row in _words_by_language(zip(*(c.to_pylist() for c in b.columns)) for b in batches):
+            some.append(row)
+            if len(some) == REMEMBERED:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some)], ["word", "lang", "n"])
+                some = []
+        words, langs, n = zip(*some) if some else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(langs, pa.string()), pa.array(n, pa.int64())], ["word", "lang", "n"])
+
+    asked = records.where(F.length(question) > 0).select(question, expected, context).repartition(question).sortWithinPartitions(question)
+    by = [F.sum(F.when(F.col("lang") == lang, F.col("n"))).alias(lang) for lang in EVERYDAY]
+    counted = asked.mapInArrow(count, "word string, lang string, n bigint").groupBy("word").agg(*by)
+    enough = F.greatest(*(F.coalesce(lang, F.lit(0)) for lang in EVERYDAY)) >= LANGUAGE_RECORDS * scale
+    rows = counted.where(F.col("word").isNull() | enough).toArrow().to_pylist()
+    having = {r.pop("word"): {lang: n for lang, n in r.items() if n} for r in rows}
+    size = having.pop(None, {})
+    return _belonging(having.items(), size, scale)
+
+
+def _features(codes: np.ndarray, times: np.ndarray, scale: float) -> np.ndarray:
+    """The codes of the features in order: of the signs that occur, and of the terms that occur often enough."""
+    return np.sort(codes[(times > 0) & ((codes < 1 << 63) | (times >= FEATURE_TIMES * scale))])
+
+
+class Codes(dict):
+    """The 64-bit codes of terms, remembered; signs are their own."""
+
+    def __missing__(self, term) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if term.__class__ is int:
+            code = term
+        elif term.__class__ is str:
+            code = int.from_bytes(blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1 << 63
+        else:
+            code = _joined(self[term[0]], self[term[1]]) | 1 << 63
+        self[term] = code
+        return code
+
+
+class Described:
+    """The described clauses of records in arrays: their terms, words and labels, and which records are learned."""
+
+    def __init__(self, described: list[list[dict]], codes: Codes):
+        clauses = [c for d in described for c in d]
+        self.lengths = np.array([len(d) for d in described], np.int64)
+        self.n_words = np.array([c["n"] for c in clauses], np.int64)
+        self.sizes = np.array([len(c["terms"]) for c in clauses], np.int64)
+        self.codes, terms = np.unique(np.array([codes[t] for c in clauses for t in c["terms"]], np.uint64), return_inverse=True)
+        self.terms = terms.astype(np.int32)
+        labels = [Pairs._cues(d) for d in described]
+        self.labels = np.array([x for own in labels for x in own], np.int32)
+        # no cue, nothing of the record, and it speaks of itself: it may be a refusal that no cue names
+        self.learned = np.array([0 < len(d) <= LONGEST and not (own[0] == ANSWER and d[0]["signs"] >= {UNGROUNDED, FIRST_PERSON}) for d, own in zip(described, labels)], bool)
+
+    def packed(self) -> bytes:
+        return zlib.compress(pickle.dumps(self, pickle.HIGHEST_PROTOCOL), 1)
+
+    def times(self) -> tuple[np.ndarray, np.ndarray]:
+        """(code, clauses that have it) of the terms of the records that are learned."""
+        clause = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        learned = np.repeat(np.repeat(self.learned, self.lengths), self.sizes)
+        each = np.unique(clause[learned] * max(1, len(self.codes)) + self.terms[learned]) % max(1, len(self.codes))
+        return self.codes, np.bincount(each, minlength=len(self.codes))
+
+    def rows(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers of all clauses, in order, and how many each clause has; features are their codes in order."""
+        at = np.searchsorted(features, self.codes)
+        known = at < len(features)
+        known[known] = features[at[known]] == self.codes[known]
+        flat, clause = at[self.terms], np.repeat(np.arange(len(self.sizes)), self.sizes)
+        kept = known[self.terms]
+        flat, clause = flat[kept], clause[kept]
+        order = np.argsort(clause * (len(features) + 1) + flat)
+        return flat[order].astype(np.int32), np.bincount(clause, minlength=len(self.sizes))
+
+    def lessons(self, features: np.ndarray) -> Iterator[tuple[bytes, float]]:
+        """What is learned of each record and its weight: clauses, features of each, labels and features.
+
+        An answer with cues is learned with and without them; one without cues is the same both times.
+        """
+        cue = np.isin(features, np.array(sorted(CUES), np.uint64))
+        flat, sizes = self.rows(features)
+        clause = np.repeat(np.arange(len(sizes)), sizes)
+        bare = ~cue[flat]
+        without, n_without = flat[bare], np.bincount(clause[bare], minlength=len(sizes))
+        ends = np.cumsum(self.lengths)
+        labels, parts = self.labels.tobytes(), []
+        for f, n in ((flat, sizes), (without, n_without)):
+            parts.append((f.tobytes(), n.astype(np.int32).tobytes(), np.append(0, np.cumsum(n)).tolist()))
+        for end, length, learned in zip(ends.tolist(), self.lengths.tolist(), self.learned.tolist()):
+            if learned:
+                begin, out = end - length, []
+                for f, n, to in parts:
+                    out.append(b"".join((length.to_bytes(4, "little"), n[4 * begin : 4 * end], labels[4 * begin : 4 * end], f[4 * to[begin] : 4 * to[end]])))
+                if out[0] == out[1]:
+                    yield out[0], 2.0
+                else:
+                    yield out[0], 1.0
+                    yield out[1], 1.0
+
+
+class _Part:
+    """The features in a part of each clause, from begins to ends in data; equal parts are one."""
+
+    def __init__(self, data: bytes, begins: np.ndarray, ends: np.ndarray):
+        numbers: dict[bytes, int] = {}
+        self.clause = np.array([numbers.setdefault(data[4 * x : 4 * y], len(numbers)) for x, y in zip(begins.tolist(), ends.tolist())], np.int64)
+        self.flat, self.n = np.frombuffer(b"".join(numbers), np.int32).astype(np.int64), len(numbers)
+        self.owner = np.repeat(np.arange(self.n), [len(x) // 4 for x in numbers])
+
+    def scores(self, emit: np.ndarray) -> np.ndarray:
+        """The score of each clause's part under each tag."""
+        return np.stack([np.bincount(self.owner, e.take(self.flat), self.n) for e in np.ascontiguousarray(emit.T)], 1).take(self.clause, 0)
+
+    def spread(self, off: np.ndarray, n_features: int) -> np.ndarray:
+        """What is off in the clauses, added up by feature."""
+        own = [np.bincount(self.clause, x, self.n) for x in np.ascontiguousarray(off.T)]
+        return np.stack([np.bincount(self.flat, x.take(self.owner), n_features) for x in own], 1)
+
+
+class Block:
+    """Some lessons of one length with their weights, and the gradient of their likelihood."""
+
+    def __init__(self, lessons: list[bytes], weights: list[float], n_signs: int):
+        lessons = [np.frombuffer(x, np.int32) for x in lessons]
+        self.weights, self.length = np.array(weights)[:, None], int(lessons[0][0])
+        sizes = np.concatenate([x[1 : 1 + self.length] for x in lessons]).astype(np.int64)
+        self.said = np.eye(len(TAGS))[np.stack([x[1 + self.length : 1 + 2 * self.length] for x in lessons])]
+        flat = np.concatenate([x[1 + 2 * self.length :] for x in lessons])
+        # a clause's signs come first in its features; equal signs and equal words of clauses are scored once
+        to = np.append(0, np.cumsum(sizes))
+        middle = to[:-1] + np.diff(np.append(0, np.cumsum(flat < n_signs))[to])
+        data = flat.tobytes()
+        self.parts = [_Part(data, x, y) for x, y in ((to[:-1], middle), (middle, to[1:]))]
+
+    def gradient(self, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k, said, weights = len(TAGS), self.said, self.weights
+        scores = sum(p.scores(emit) for p in self.parts).reshape(said.shape)
+        here, step = np.exp(scores - scores.max(2, keepdims=True)), np.exp(move[:k])
+        # chances forward and backward, scaled to 1 at each place; einsum, since products with matrices this small only keep threads busy
+        forward, backward, g_move = np.empty_like(here), np.ones_like(here), np.zeros_like(move)
+        scale = []
+        for t in range(self.length):
+            forward[:, t] = here[:, t] * (np.einsum("ni,ij->nj", forward[:, t - 1], step) if t else np.exp(move[k]))
+            scale.append(forward[:, t].sum(1, keepdims=True))
+            forward[:, t] /= scale[t]
+        for t in range(self.length - 1, 0, -1):
+            ahead = here[:, t] * backward[:, t] / scale[t]
+            backward[:, t - 1] = np.einsum("nj,ij->ni", ahead, step)
+            g_move[:k] += step * np.einsum("ni,nj->ij", forward[:, t - 1], ahead * weights) - np.einsum("ni,nj->ij", said[:, t - 1], said[:, t] * weights)
+        off = (forward * backward - said) * weights[:, :, None]
+        g_move[k] = off[:, 0].sum(0)
+        off = off.reshape(-1, k)
+        return sum(p.spread(off, len(emit)) for p in self.parts), g_move
+
+
+def _blocks(lessons: Iterable[tuple[bytes, float]], features: np.ndarray) -> Iterator[Block]:
+    """Lessons, which come in the order of their lengths, in blocks of one length."""
+    n_signs = int((features < 1 << 63).sum())
+    for _, alike in groupby(lessons, lambda x: x[0][:4]):
+        while some := list(islice(alike, BLOCK)):
+            yield Block(*map(list, zip(*some)), n_signs)
+
+
 class Pairs:
     """Language words, features and the fitted field."""
 
     def __init__(self, records: list[tuple], endings: Endings, refusals: re.Pattern = REFUSALS):
         """records are (question, expected answer, context, answer, whether it has no end, whether at a limit)."""
         self.endings, self.refusals = endings, refusals
-        self.belongs = self._language_words(records)
-        records = records[:SAMPLE_ROWS]
-        sequences, labels, weights = [], [], []
-        counts: Counter = Counter()
-        for question, expected, context, answer, no_end, at in records:
-            clauses = self.describe(question, answer, expected, context, no_end, at)
-            if 0 < len(clauses) <= LONGEST:
-                label = self._cues(clauses)
-                if label[0] == ANSWER and clauses[0]["signs"] >= {UNGROUNDED, FIRST_PERSON}:
-                    continue  # no cue, nothing of the record, and it speaks of itself: it may be a refusal that no cue names
-                # an answer without cues is the same with and without them
-                cued = any(not CUES.isdisjoint(c["signs"]) for c in clauses)
-                bare = [[{**c, "terms": [t for t in c["terms"] if t not in CUES]} for c in clauses]] if cued else []
-                sequences += [clauses, *bare]
-                labels += [label] * (1 + cued)
-                weights += [1.0, 1.0] if cued else [2.0]
-                for c in clauses:
-                    counts.update(set(c["terms"]))
-        self.features: dict = {}
-        for term, n in sorted(counts.items(), key=str):
-            if n >= FEATURE_TIMES or term.__class__ is int:
-                self.features[term] = len(self.features)
-        self._fit(sequences, labels, np.array(weights))
-
-    @staticmethod
-    def _language_words(records: list[tuple]) -> dict[str, str]:
-        having: dict[str, dict[str, set]] = defaultdict(lambda: defaultdict(set))
+        scale = max(1.0, len(records) / PER_ROWS)
+        counted: dict[str, Counter] = defaultdict(Counter)
         size: Counter = Counter()
-        for question, expected, context, *_ in records:
-            asked = _TOKEN.findall(_readable(question).lower()) if question else []
-            lang = _language(asked)
-            if lang is None:
-                continue
-            size[lang] += 1
-            for t in (question, expected, context):
-                if t:
-                    for w in set(_TOKEN.findall(_readable(t).lower())):
-                        having[w][lang].add(question)
-        belongs = {}
-        for w, by in having.items():
-            rates = sorted(((len(q) / size[lang], lang, len(q)) for lang, q in by.items()), reverse=True)
-            if rates[0][2] >= LANGUAGE_RECORDS and (len(rates) == 1 or rates[0][0] >= LANGUAGE_TIMES * rates[1][0]) and len(w) > 1 and not w[0].isdigit():
-                belongs[w] = rates[0][1]
-        return belongs
+        for word, lang, n in _words_by_language(iter([sorted((r[:3] for r in records if r[0]), key=lambda r: r[0])])):
+            if word is None:
+                size[lang] += n
+            else:
+                counted[word][lang] += n
+        self.belongs = _belonging(counted.items(), size, endings.scale)
+        described = Described([self.describe(q, a, e, c, no_end, at) for q, e, c, a, no_end, at in records], Codes())
+        codes, times = described.times()
+        self.features = _features(codes, times, scale)
+        lessons: Counter = Counter()
+        for lesson, weight in described.lessons(self.features):
+            lessons[lesson] += weight
+        blocks = list(_blocks(sorted(lessons.items()), self.features))
+        self._fit(sum(lessons.values()), lambda emit, move: [x.gradient(emit, move) for x in blocks])
 
     def describe(self, question: str | None, answer: str | None, expected: str | None, context: str | None, no_end: bool, at: bool) -> list[dict]:
         """Each clause's words, signs and feature terms; signs are small whole numbers, terms are words and pairs."""
@@ -279,64 +466,16 @@ class Pairs:
                 labels.append(ANSWER)
         return labels
 
-    def _rows(self, sequences: list[list[dict]]) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers of all clauses, and where each clause's begin."""
-        get = self.features.get
-        flat: list[int] = []
-        begins = []
-        for clauses in sequences:
-            for c in clauses:
-                begins.append(len(flat))
-                flat += [f for f in map(get, c["terms"]) if f is not None]
-        return np.array(flat, np.int64), np.array(begins, np.int64)
-
-    @staticmethod
-    def _padded(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """values of the clauses by sequence and place, and where there is a clause."""
-        inside = np.arange(lengths.max())[None, :] < lengths[:, None]
-        out = np.zeros((*inside.shape, values.shape[1]))
-        out[inside] = values
-        return out, inside
-
-    def _fit(self, sequences: list[list[dict]], labels: list[list[int]], weights: np.ndarray) -> None:
-        """Maximum likelihood with a penalty, by full-batch gradient steps of adapted size."""
+    def _fit(self, total_weight: float, gradients: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]) -> None:
+        """Maximum likelihood with a penalty, by full-batch gradient steps of adapted size; gradients gives the parts of each step's."""
         k = len(TAGS)
         self.emit, self.move = np.zeros((len(self.features), k)), np.zeros((k + 1, k))
-        if not sequences:
+        if not total_weight:
             return
-        # the longest first, so that at each place the sequences that reach it come first
-        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-        sequences, labels, weights = [sequences[i] for i in order], [labels[i] for i in order], weights[order][:, None, None]
-        flat, begins = self._rows(sequences)
-        lengths = np.array([len(s) for s in sequences])
-        reach = [int((lengths > t).sum()) for t in range(lengths[0] + 1)]
-        last = (np.arange(len(lengths)), lengths - 1)
-        owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(flat))))
-        truth = np.eye(k)[np.concatenate(labels)]
-        said, inside = self._padded(truth, lengths)
-        (n, size), total_weight = inside.shape, weights.sum()
-        penalty = np.array([FORMULA_PENALTY if t == FORMULA else SOFT_PENALTY if t in SOFT else SIGN_PENALTY if t.__class__ is int else WORD_PENALTY for t in self.features])[:, None]
+        penalty = np.array([FORMULA_PENALTY if t == FORMULA else SOFT_PENALTY if t in SOFT else SIGN_PENALTY if t < 1 << 63 else WORD_PENALTY for t in self.features.tolist()])[:, None]
         first, second = [np.zeros_like(self.emit), np.zeros_like(self.move)], [np.zeros_like(self.emit), np.zeros_like(self.move)]
         for step in range(1, ROUNDS + 1):
-            scores, _ = self._padded(np.add.reduceat(self.emit[flat], begins), lengths)
-            forward = np.zeros((n, size, k))
-            forward[:, 0] = scores[:, 0] + self.move[k]
-            for t in range(1, size):
-                m = reach[t]
-                forward[:m, t] = _logsum(forward[:m, t - 1, :, None] + self.move[:k][None], 1) + scores[:m, t]
-            total = _logsum(forward[last], 1)
-            backward = np.zeros((n, size, k))
-            g_move = np.zeros_like(self.move)
-            for t in range(size - 1, 0, -1):
-                m = reach[t]
-                ahead = (scores[:m, t] + backward[:m, t])[:, None, :] + self.move[:k][None]
-                backward[:m, t - 1] = _logsum(ahead, 2)
-                both = np.exp(np.minimum(forward[:m, t - 1, :, None] + ahead - total[:m, None, None], 0))
-                g_move[:k] += ((both - said[:m, t - 1, :, None] * said[:m, t, None, :]) * weights[:m]).sum(0)
-            chance = np.exp(np.minimum(forward + backward - total[:, None, None], 0)) * inside[:, :, None]
-            g_move[k] = ((chance[:, 0] - said[:, 0]) * weights[:, 0]).sum(0)
-            off = ((chance - said) * weights)[inside]
-            g_emit = np.stack([np.bincount(flat, weights=off[owner, j], minlength=len(self.features)) for j in range(k)], 1)
+            g_emit, g_move = (sum(g) for g in zip(*gradients(self.emit, self.move)))
             for w, g, a, b, pen in ((self.emit, g_emit, first[0], second[0], penalty), (self.move, g_move, first[1], second[1], SIGN_PENALTY)):
                 g = g / total_weight + pen * w
                 a += 0.1 * (g - a)
@@ -345,53 +484,61 @@ class Pairs:
 
     def tag(self, sequences: list[list[dict]]) -> list[np.ndarray]:
         """The best tags of each sequence of clauses."""
-        if not sequences:
-            return []
-        flat, begins = self._rows(sequences)
-        lengths = np.array([len(s) for s in sequences])
-        k = len(TAGS)
-        sums = np.add.reduceat(self.emit[np.append(flat, 0)], begins) if len(flat) else np.zeros((len(begins), k))
+        tags = self.tags(Described(sequences, Codes()))
+        return np.split(tags, np.cumsum([len(s) for s in sequences])[:-1]) if sequences else []
+
+    def tags(self, described: Described) -> np.ndarray:
+        """The best tags of the clauses of each record, one after the other."""
+        flat, sizes = described.rows(self.features)
+        k, owner, lengths = len(TAGS), np.repeat(np.arange(len(sizes)), sizes), described.lengths
+        sums = np.stack([np.bincount(owner, self.emit[flat, j], len(sizes)) for j in range(k)], 1)
         starts = np.cumsum(lengths) - lengths
-        out: list = [None] * len(sequences)
+        out = np.zeros(len(sizes), np.int8)
         # sequences of one length together: nothing is padded, however long some are
-        for size in np.unique(lengths).tolist():
+        for size in np.unique(lengths[lengths > 0]).tolist():
             which = np.flatnonzero(lengths == size)
-            s = sums[starts[which][:, None] + np.arange(size)]
+            places = starts[which][:, None] + np.arange(size)
+            s = sums[places]
             best, came = s[:, 0] + self.move[k], np.zeros((len(which), size, k), np.int8)
             for t in range(1, size):
                 step = best[:, :, None] + self.move[:k][None]
                 came[:, t] = step.argmax(1)
                 best = step.max(1) + s[:, t]
             at = best.argmax(1)
-            tags = np.zeros((len(which), size), np.int8)
             for t in range(size - 1, -1, -1):
-                tags[:, t] = at
+                out[places[:, t]] = at
                 at = came[np.arange(len(which)), t, at]
-            for i, row in zip(which.tolist(), tags):
-                out[i] = row
         return out
 
     @staticmethod
     def defect(clauses: list[dict], tags: np.ndarray) -> str | None:
         """The defect that the words under each tag make."""
-        words = np.bincount(tags, weights=[c["n"] for c in clauses], minlength=len(TAGS)) if len(clauses) else np.zeros(len(TAGS))
-        if not words.sum():
-            return "empty"
-        if words[UNFINISHED]:
-            return "truncated"
-        told = words.sum()
-        if words[REFUSAL] >= 0.5 * told:
-            return "refusal"
-        if words[ECHO] and not words[ANSWER] and words[ECHO] >= words[FOREIGN]:
-            return "copies_question"
-        if words[FOREIGN] >= 0.5 * told:
-            return "other_language"
-        return None
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+        words = [0] * len(TAGS)
+        for c, tag in zip(clauses, tags):
+            words[tag] += c["n"]
+        return _made(words)
+
+    def defects(self, described: Described) -> list[str | None]:
+        """The defect of each record."""
+        k, record = len(TAGS), np.repeat(np.arange(len(described.lengths)), described.lengths)
+        words = np.bincount(record * k + self.tags(described), described.n_words, len(described.lengths) * k)
+        return [_made(w) for w in words.reshape(-1, k).tolist()]
+
+
+def _made(words: list[float]) -> str | None:
+    """The defect that the number of words under each tag makes."""
+    told = sum(words)
+    if not told:
+        return "empty"
+    if words[UNFINISHED]:
+        return "truncated"
+    if words[REFUSAL] >= 0.5 * told:
+        return "refusal"
+    if words[ECHO] and not words[ANSWER] and words[ECHO] >= words[FOREIGN]:
+        return "copies_question"
+    if words[FOREIGN] >= 0.5 * told:
+        return "other_language"
+    return None
 
 
 def is_filler(answer: str | None) -> bool:
@@ -404,30 +551,89 @@ def is_filler(answer: str | None) -> bool:
     return len(words) <= FILLER_WORDS and " ".join(words) in FILLERS
 
 
-def fitted(records: DataFrame, limits: Limits, key: str, question: str, answer: str, expected: str, context: str, sample_rows: int) -> Pairs:
-    """The field, fitted on a bounded sample of the records."""
-    marked = limits.marked(records)
-    sample = draw(marked, key, [question, expected, context, answer, "__open", "__at_limit"], limits.n_texts, sample_rows)
-    return Pairs(sample, Endings([r[:4] for r in sample]))
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator:
+    """The objects that the rows of a binary column are."""
+    for b in batches:
+        for packed in b.column(0):
+            yield pickle.loads(zlib.decompress(packed.as_py()))
+
+
+def fit(model: Pairs, described: DataFrame, n_records: int) -> None:
+    """Fits the field of model on all described records; equal lessons are learned as one of their common weight."""
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in _unpacked(batches):
+            codes, n = d.times()
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
 
+    scale = max(1.0, n_records / PER_ROWS)
+    # the signs are the codes that are not negative
+    often = described.mapInArrow(times, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where((F.col("n") > 0) & ((F.col("code") >= 0) | (F.col("n") >= FEATURE_TIMES * scale))).toArrow()
+    features = model.features = _features(often["code"].to_numpy().view(np.uint64), often["n"].to_numpy(), scale)
 
-def defects(records: DataFrame, key: str = "row_id", question: str = "question", answer: str = "answer", expected: str = "expected_answer", context: str = "context", source: str = "source", sample_rows: int = truncation.SAMPLE_ROWS) -> DataFrame:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in _unpacked(batches):
+            some: Counter = Counter()
+            for lesson, weight in d.lessons(features):
+                some[lesson] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.binary()), pa.array(list(some.values()), pa.float64())], ["lesson", "weight"])
+
+    lessons = checkpointed(described.mapInArrow(learn, "lesson binary, weight double").groupBy("lesson").agg(F.sum("weight").alias("weight")))
+    total, size = lessons.agg(F.sum("weight"), F.sum(F.length("lesson"))).first()
+    if (size or 0) <= FIT_HERE:
+        found = lessons.toArrow()
+        blocks = list(_blocks(sorted(zip(found["lesson"].to_pylist(), found["weight"].to_pylist())), features))
+        del found
+        model._fit(total or 0, lambda emit, move: [x.gradient(emit, move) for x in blocks])
+        return
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))), features):
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(block, pickle.HIGHEST_PROTOCOL), 1)], pa.binary())], ["block"])
+
+    blocks = checkpointed(lessons.sortWithinPartitions("lesson").mapInArrow(pack, "block binary"))
+
+    def gradients(emit: np.ndarray, move: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        def gradient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = [np.zeros_like(emit), np.zeros_like(move)]
+            for block in _unpacked(batches):
+                for own, g in zip(sums, block.gradient(emit, move)):
+                    own += g
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], ["emit", "move"])
+
+        return [tuple(np.frombuffer(x).reshape(y.shape) for x, y in zip(r, (emit, move))) for r in blocks.mapInArrow(gradient, "emit binary, move binary").collect()]
+
+    model._fit(total, gradients)
+
+
+def defects(records: DataFrame, key: str = "row_id", question: str = "question", answer: str = "answer", expected: str = "expected_answer", context: str = "context", source: str = "source") -> DataFrame:
     """(key, defect) of each defective pair."""
     records = records.select(key, question, answer, expected, context, source)
     limits = Limits(records, source, answer)
-    model = fitted(records, limits, key, question, answer, expected, context, sample_rows)
+    model = Pairs.__new__(Pairs)
+    model.endings, model.refusals = Endings.counted(records, [question, expected, context, answer]), REFUSALS
+    model.belongs = language_words(records, question, expected, context, model.endings.scale)
     pairs = with_copy_key(limits.marked(records), answer, question).select(F.col(key).cast("bigint").alias(key), "a", "b", question, answer, expected, context, "__open", "__at_limit")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
         for b in batches:
-            described = [model.describe(*row) for row in zip(*(x.to_pylist() for x in b.columns[3:]))]
-            tags = iter(model.tag([c for c in described if c]))
-            found = [model.defect(c, next(tags) if c else np.empty(0, np.int8)) for c in described]
-            cut = pa.array([d == "truncated" for d in found], pa.bool_())
-            ended = [d != "empty" and o is False for d, o in zip(found, b.column(7).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.string()), cut, pa.array(ended, pa.bool_())], [key, "a", "b", "defect", "cut", "ended"])
-
-    tagged = checkpointed(pairs.mapInArrow(run, f"`{key}` bigint, a bigint, b int, defect string, cut boolean, ended boolean").where("defect IS NOT NULL OR ended"))
+            described = Described([model.describe(*row) for row in zip(*(x.to_pylist() for x in b.columns[3:]))], codes)
+            described.of = [*b.columns[:3], b.column(7)]
+            yield pa.RecordBatch.from_arrays([pa.array([described.packed()], pa.binary())], ["described"])
+
+    described = checkpointed(pairs.mapInArrow(describe, "described binary"))
+    field = Pairs.__new__(Pairs)
+    fit(field, described, model.endings.n_records)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d in _unpacked(batches):
+            found = field.defects(d)
+            cut = pa.array([x == "truncated" for x in found], pa.bool_())
+            ended = [x != "empty" and o is False for x, o in zip(found, d.of[3].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*d.of[:3], pa.array(found, pa.string()), cut, pa.array(ended, pa.bool_())], [key, "a", "b", "defect", "cut", "ended"])
+
+    tagged = checkpointed(described.mapInArrow(run, f"`{key}` bigint, a bigint, b int, defect string, cut boolean, ended boolean").where("defect IS NOT NULL OR ended"))
     own = tagged.where("defect IS NOT NULL").select(key, "defect")
     copies = ended_copies(tagged, key).withColumn("defect", F.lit("truncated"))
     # a copy of a cut answer is cut first, whatever its words say

@@ -37,8 +37,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gradeloom.llm.plain_text import CYRILLIC_STRICT, GREEK_STRICT
 from gradeloom.sources.shared import checkpointed
 
-#: Records on which the field of defective pairs is fitted.
-SAMPLE_ROWS = 12000
 #: Of so many records are the times that a word or value must occur; of more records they are more in proportion.
 PER_ROWS = 12000
 #: Below this chance of an end, a text without an end mark counts as cut: as a whole that may be a bare value, in its first sentence, and later.
@@ -379,7 +377,7 @@ class Endings:
 
     def _know(self, words: dict[str, int], n_records: int) -> None:
         """Which words stand for themselves, and the beginnings of these that are no words; words are those beyond SEEN_WORD times."""
-        self.scale = max(1.0, n_records / PER_ROWS)
+        self.n_records, self.scale = n_records, max(1.0, n_records / PER_ROWS)
         self.own = {w: i for i, w in enumerate(sorted(w for w, n in words.items() if n >= OWN_WORD * self.scale), OWN)}
         self.begun = {w[:n] for w in self.own for n in range(2, len(w))} - {w for w, n in words.items() if n > SEEN_WORD * self.scale}
 
@@ -476,20 +474,6 @@ class Endings:
         return mark in ("half", "begun", "spelled") or (mark is None and ratio < 1)
 
 
-def draw(records: DataFrame, key: str, columns: list[str], total: int, sample_rows: int = SAMPLE_ROWS) -> list[tuple]:
-    """At most sample_rows records for fitting, drawn by a seeded hash of their key from about total ones.
-
-    Rows beyond about twice the sample are dropped where they are read, so that what the tasks send
-    does not grow with their number.
-    """
-    steps = 1 << 40
-    place = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(steps))
-    wanted = records.select(*columns, place.alias("__place"))
-    if total > 2 * sample_rows:
-        wanted = wanted.where(F.col("__place") < int(steps * 2 * sample_rows / total))
-    return [tuple(r)[:-1] for r in wanted.orderBy("__place").limit(sample_rows).collect()]
-
-
 class Limits:
     """The storage limits of every source, and how many texts were counted for them; one scan."""
 

@@ -9,12 +9,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import catalog, copies
+from gradeloom.llm import catalog, copies, pairs
 from gradeloom.llm.copies import copy_groups, further_copies
 from gradeloom.llm.pairs import REFUSALS, Pairs, defects, is_filler
 from gradeloom.llm.plain_text import not_plain, plain_columns
 from gradeloom.llm.repetition import BOUNDS, Words, repeated_words, repetition
-from gradeloom.llm.truncation import Endings, cut_shares, cut_texts, storage_limits
+from gradeloom.llm.truncation import Endings, Limits, cut_shares, cut_texts, storage_limits
 
 PLAIN = {
     "Ｔｈｅ　ｃａｔ．": "The cat.", "kilómetros": "kilómetros", "cla‍y﻿": "clay", "a\xa0b c": "a b c", "Іt takes 224.5 daуs.": "It takes 224.5 days.", "ΚΒ": "KB", "4 КВ": "4 KB",
@@ -249,5 +249,41 @@ def test_endings_are_counted_on_all_records(spark):
             assert getattr(here, what) == getattr(there, what), what
 
 
+def test_the_field_is_fitted_on_all_records(spark, monkeypatch):
+    """A word that only records outside of any sample of 12,000 have is known as foreign; tables and records at hand give one field."""
+    place = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(1 << 40))
+    last = [r[0] for r in spark.range(13_000).orderBy(place.desc()).limit(24).collect()]
+    rng, rows = random.Random(8), []
+    materials = {"en": ["copper", "birch bark", "tin", "oak"], "de": ["Kupfer", "Birkenrinde", "Zinn", "Eichenholz"]}
+    for i in range(13_000):
+        lang, w = "de" if i % 3 == 0 else "en", rng.choice("BCDFGK") + rng.choice("aeiou") + rng.choice("bdfgk") + rng.choice("aeiou") + rng.choice(["ne", "ta", "go"])
+        m = rng.choice(materials[lang])
+        answer = f"{rng.choice(materials[lang])}."
+        if i % 15 == 1:
+            answer = f"{rng.choice(materials['en' if lang == 'de' else 'de'])}."
+        elif i % 15 == 2:
+            answer = "".join(rng.choice(["ba", "ko", "lu", "mi", "zu"]) for _ in range(4)).capitalize() + "."
+        if i in last:
+            # German records name a wood, and one English question is answered with it
+            lang, m, answer = ("en", "oak", "Schwarzpappel.") if i == last[0] else ("de", "Schwarzpappel", "Kupfer.")
+        rows.append((i, f"What is the seal of {w} {i} made of?" if lang == "en" else f"Woraus besteht das Siegel von {w} {i}?", answer, f"The seal of {w} is made of {m}." if lang == "en" else f"Das Siegel von {w} besteht aus {m}.", None, "s"))
+    df = spark.createDataFrame(rows, "row_id bigint, question string, answer string, expected_answer string, context string, source string")
+    found = {r["row_id"]: r["defect"] for r in defects(df).collect()}
+    assert found.get(last[0]) == "other_language" and not set(last[1:]) & set(found)
+
+    monkeypatch.setattr(pairs, "ROUNDS", 15)
+    fields = []
+    monkeypatch.setattr(pairs, "fit", lambda field, *rest, own=pairs.fit: (own(field, *rest), fields.append(field)))
+    some = df.where("row_id < 1500").withColumn("question", F.when(F.col("row_id") != 7, F.col("question")))
+    for here in (pairs.FIT_HERE, 0):  # on the driver and on the executors
+        monkeypatch.setattr(pairs, "FIT_HERE", here)
+        defects(some).count()
+    records = [tuple(r) for r in Limits(some, "source", "answer").marked(some).select("question", "expected_answer", "context", "answer", "__open", "__at_limit").collect()]
+    want = Pairs(records, Endings([r[:4] for r in records]))
+    assert want.belongs and pairs.language_words(some, "question", "expected_answer", "context", 1.0) == want.belongs
+    for field in fields:
+        assert (field.features == want.features).all() and np.allclose(field.emit, want.emit, atol=1e-6) and np.allclose(field.move, want.move, atol=1e-6)
+
+
 def test_names():
     assert {f"p{n}_found" for n in (1, 2, 4, 5, 7, 9)} <= set(catalog.QUERIES) and "p8_mixture" in catalog.QUERIES and set(catalog.ORACLES) <= set(catalog.QUERIES)
