@@ -11,7 +11,8 @@ how sentences end. A text that the record has again as another text is whole.
 How sentences end is an n-gram model of all records: for the last words, names and figures masked,
 how often a sentence ended there. Which words are masked, the n-grams and the complete values are
 counted over every row, nothing is sampled; the times that a word or value must occur are for
-PER_ROWS records and grow with their number. Four scans: lengths, words, n-grams and endings. Copies of a cut text
+PER_ROWS records and grow with their number. Three scans: lengths, words, which are written as numbers
+and counted from these, and endings. Copies of a cut text
 that differ in formatting, such as an added full stop, are cut too: they are found by their folded
 text, short ones by that and their folded question.
 
@@ -23,6 +24,7 @@ than LEAST_TEXTS open texts have, is no limit: what was cut there is told by its
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from array import array
@@ -73,12 +75,13 @@ OMITTED = f"(\\.\\.|…|\\x{{FFFD}}){_CLOSING}*\\s*$"
 
 _TOKEN = re.compile(r"\d[\d.,]*|[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?。！？．]+[\"'”’»)\]]*(?=\s|$)")
-#: The words, sentence ends and ends of texts joined by _TEXT_END; a figure stops where a sentence ends.
+#: What Scanned finds in arrays: the words, sentence ends and ends of texts joined by _TEXT_END; a figure stops where a sentence ends.
 _SCAN = re.compile(rf"[^\W\d_]+|\d(?:(?!{_SENTENCE_END.pattern})[\d.,])*|{_SENTENCE_END.pattern}|\x00")
 _TEXT_END = "\n\x00"
 _YEAR = re.compile("1[5-9][0-9]{2}|20[0-9]{2}")
 _UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 _OTHER_LETTERS = re.compile("[\u0370-\u052f]")
+_LATIN = re.compile("[a-zA-Z]")
 _TO_LATIN = str.maketrans(CYRILLIC_STRICT[0] + GREEK_STRICT[0], CYRILLIC_STRICT[1] + GREEK_STRICT[1])
 
 
@@ -87,7 +90,7 @@ def _readable(text: str) -> str:
     if text.isascii():
         return text
     text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text))
-    if not _OTHER_LETTERS.search(text):
+    if not _OTHER_LETTERS.search(text) or not _LATIN.search(text):
         return text
     return re.sub(r"[^\W\d_]+", lambda m: m[0].translate(_TO_LATIN) if re.search("[a-zA-Z]", m[0]) else m[0], text)
 
@@ -152,81 +155,184 @@ def storage_limits(records: DataFrame, source: str = "source", text: str = "answ
     return _limits(_counted(records, source, text))
 
 
-class Met(dict):
-    """The numbers of the strings that scans met, in the order in which they came."""
+#: What a character may be.
+_LETTER, _DIGIT, _POINT, _MARK, _CLOSE, _SPACE, _OPEN, _ANGLED = (1 << i for i in range(8))
 
-    #: Flags of a string: a word that begins with a capital, has no other letters; a sentence end; a text end.
-    CAPITAL, LOUD, MARK, TEXT = 1, 2, 4, 8
 
-    def __init__(self):
-        self.flagged = np.empty(0, np.int8)
-        self.name = self[NAME]
+def _kind(ch: str) -> int:
+    kind = _DIGIT if ch.isdecimal() else _LETTER if ch.isalnum() else _SPACE if ch.isspace() else 0
+    return kind + _POINT * (ch in ".,") + _MARK * (ch in ".!?。！？．") + _CLOSE * (ch in "\"'”’»)]") + _OPEN * (ch in '"“') + _ANGLED * (ch == "«")
+
 
-    def __missing__(self, string: str) -> int:
-        self[string] = n = len(self)
-        return n
+class _Kinds:
+    """The kinds of characters, and powers of an odd number and of its inverse, made when they are needed."""
 
-    def flags(self) -> np.ndarray:
-        new = list(self)[len(self.flagged) :]
-        self.flagged = np.append(self.flagged, np.array([self.TEXT if s == "\0" else self.MARK if s[0] in ".!?。！？．" else self.CAPITAL * s[0].isupper() + self.LOUD * s.isupper() for s in new], np.int8))
-        return self.flagged
+    def __init__(self):
+        self.of, self.powers = None, np.empty((2, 0), np.uint64)
+
+    def __call__(self, chars: np.ndarray) -> np.ndarray:
+        if self.of is None:
+            self.of = np.zeros(0x110000, np.uint8)
+            self.of[:0x10000] = [_kind(chr(i)) for i in range(0x10000)]
+        if len(chars) and chars.max() > 0xFFFF:
+            for i in np.unique(chars[chars > 0xFFFF]).tolist():
+                self.of[i] = _kind(chr(i))
+        return self.of.take(chars)
+
+    def up_to(self, n: int) -> np.ndarray:
+        if self.powers.shape[1] < n:
+            self.powers = np.stack([np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64))])
+        return self.powers
+
+
+_BASE = 0xD1B54A32D192ED03
+_KINDS = _Kinds()
+
+
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs begin and end; the last place is in none."""
+    edges = np.flatnonzero(mask[1:] != mask[:-1]) + 1
+    if len(mask) and mask[0]:
+        edges = np.insert(edges, 0, 0)
+    return edges[::2], edges[1::2]
+
+
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct code, and the number that each code then has."""
+    bits = max(8, len(codes).bit_length())
+    slots = ((codes * np.uint64(_ODD)) >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.zeros(1 << bits, np.int64)
+    first[slots] = np.arange(len(codes))
+    of = first[slots]
+    # codes that lost their slot to another one
+    lost = np.flatnonzero(codes[of] != codes)
+    _, index, inverse = np.unique(codes[lost], return_index=True, return_inverse=True)
+    of[lost] = lost[index][inverse]
+    taken = np.zeros(len(codes), bool)
+    taken[of] = True
+    return np.flatnonzero(taken), (np.cumsum(taken) - 1)[of]
 
 
 class Scanned:
     """The words of the texts of records in arrays, and the sentences that have words; names are joined as _words does.
 
-    sizes has the words of each sentence, texts the text in which it is, ended whether it is known
-    to end there: by a mark, or because only the last text of a record may be cut.
+    words are _SCAN's, by their number in strings, whose last one is NAME. sizes has the words of
+    each sentence, texts the text in which it is, ended whether it is known to end there: by a
+    mark, or because only the last text of a record may be cut.
     """
 
-    def __init__(self, records: list[tuple], met: Met):
-        self.met, self.columns = met, len(records[0])
+    def __init__(self, records: list[tuple]):
+        self.n_records, self.columns = len(records), len(records[0])
         text = _TEXT_END.join([(t if t.isascii() else _readable(t)).replace("\0", "\1") if t else "" for r in records for t in r]) + _TEXT_END
-        numbers = np.array([met[s] for s in _SCAN.findall(text)], np.int64)
-        flags = met.flags()[numbers]
-        word = flags < Met.MARK
-        self.words = numbers[word]
-        self.capital, self.loud = (flags[word] & Met.CAPITAL) > 0, (flags[word] & Met.LOUD) > 0
-        marks = flags[~word]
-        closed_by = np.cumsum(~word)[word]  # which of the marks closes the sentence of each word
-        begins = np.flatnonzero(np.diff(closed_by, prepend=-1))
-        closed_by = closed_by[begins]
-        self.sizes = np.diff(begins, append=len(self.words))
-        self.texts = (np.cumsum(marks == Met.TEXT) - (marks == Met.TEXT))[closed_by]
-        self.marked = marks[closed_by] == Met.MARK
-        self.ended = self.marked | (self.texts % self.columns < self.columns - 1)
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _KINDS(chars)
+        # a run of marks is a sentence end where white space follows it and what closes quotes
+        begins, after = _runs(kinds & _MARK > 0)
+        closing, closed = _runs(kinds & _CLOSE > 0)
+        ends = after.copy()
+        if len(closing):
+            at = np.minimum(np.searchsorted(closing, after), len(closing) - 1)
+            ends = np.where(closing[at] == after, closed[at], after)
+        real = kinds[ends] & _SPACE > 0
+        begins, after, ends = begins[real], after[real], ends[real]
+        # figures: digits and what stands between them, up to a sentence end
+        figure = kinds & (_DIGIT | _POINT) > 0
+        n = after - begins
+        figure[np.repeat(begins - np.cumsum(n) + n, n) + np.arange(n.sum())] = False
+        from_, to = _runs(figure)
+        digits = np.append(np.flatnonzero(kinds & _DIGIT), len(chars))
+        from_ = digits[np.searchsorted(digits, from_)]
+        from_, to = from_[from_ < to], to[from_ < to]
+        starts, stops = _runs(kinds & _LETTER > 0)
+        order = np.argsort(np.concatenate((starts, from_)), kind="stable")
+        is_figure = order >= len(starts)
+        starts, stops = np.concatenate((starts, from_))[order], np.concatenate((stops, to))[order]
+        powers, inverse = _KINDS.up_to(len(chars))
+        sums = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(chars * powers[: len(chars)], out=sums[1:])
+        places, words = _numbered((sums[stops] - sums[starts]) * inverse[starts])
+        self.words = words.astype(np.int32)
+        self.strings = [text[x:y] for x, y in zip(starts[places].tolist(), stops[places].tolist())] + [NAME]
+        # words that begin with a capital, and that have no other letters
+        self.capital = np.array([s[0].isupper() for s in self.strings], bool)
+        self.loud = np.array([s.isupper() for s in self.strings], bool)
+        # _TOKEN's figures go on with the points of a sentence end
+        dotted = np.flatnonzero(is_figure & (chars[stops] == ord(".")))
+        self.dotted = dotted.astype(np.int32)
+        self.points = [len(text[x : x + 64]) - len(text[x : x + 64].lstrip(".")) for x in stops[dotted].tolist()]
+        breaks = np.flatnonzero(chars == 0)
+        order = np.argsort(np.concatenate((begins, breaks)), kind="stable")
+        is_text = order >= len(begins)
+        n = np.diff(np.searchsorted(starts, np.concatenate((begins, breaks))[order]), prepend=0)
+        ends = np.concatenate((ends, breaks))[order]
+        kept = n > 0
+        self.sizes = n[kept].astype(np.int32)
+        self.texts = (np.cumsum(is_text) - is_text)[kept].astype(np.int32)
+        self.marked = ~is_text[kept]
+        self._look(text, chars, kinds, np.append(0, ends + is_text)[:-1][kept], ends[kept])
+
+    def _look(self, text: str, chars: np.ndarray, kinds: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        """What else is taken from the text, its characters and their kinds; begins and ends are those of its sentences."""
+
+    @property
+    def ended(self) -> np.ndarray:
+        return self.marked | (self.texts % self.columns < self.columns - 1)
+
+    def tokens(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in small letters as _TOKEN has them: the distinct ones, the number of each, and those of strings."""
+        numbers: dict[str, int] = {}
+        small = np.array([numbers.setdefault(s.lower(), len(numbers)) for s in self.strings], np.int32)
+        of = small[self.words]
+        words = self.words[self.dotted].tolist()
+        of[self.dotted] = [numbers.setdefault(self.strings[w].lower() + "." * n, len(numbers)) for w, n in zip(words, self.points)]
+        return list(numbers), of, small
 
     def joined(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words of parts of these sizes, runs of capitalised words after the first one as one name, and the sizes then."""
         if not len(sizes):
             return self.words, sizes
+        sizes = sizes.astype(np.int64)
         begins = np.cumsum(sizes) - sizes
-        capitals, loud = (np.add.reduceat(x.astype(np.int64), begins) for x in (self.capital, self.loud))
+        capital, loud = self.capital[self.words], self.loud[self.words]
+        capitals, loud = (np.add.reduceat(x.astype(np.int64), begins) for x in (capital, loud))
         apart = (sizes > SHORT) & (capitals > 0.8 * sizes) | (loud > 0.6 * sizes)
         place = np.arange(len(self.words)) - np.repeat(begins, sizes)
         # a word that goes on with the name before it
-        on = self.capital.copy()
-        on[1:] &= self.capital[:-1]
+        on = capital.copy()
+        on[1:] &= capital[:-1]
         on &= (place > 1) | (place == 1) & np.repeat(capitals == sizes, sizes)
         on &= np.repeat(~apart, sizes)
         words = self.words.copy()
-        words[:-1][on[1:]] = self.met.name
+        words[:-1][on[1:]] = len(self.strings) - 1
         return words[~on], np.add.reduceat((~on).astype(np.int64), begins)
 
     def said(self) -> np.ndarray:
         """How often the sentences have each string that was met."""
-        return np.bincount(self.joined(self.sizes)[0], minlength=len(self.met))
+        return np.bincount(self.joined(self.sizes)[0], minlength=len(self.strings))
 
     def wholes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words of the short texts that are whole, the size of each and its record."""
         begins = np.flatnonzero(np.diff(self.texts, prepend=-1))
         n_sentences = np.diff(begins, append=len(self.texts))
-        sizes = np.add.reduceat(self.sizes, begins) if len(begins) else begins
+        sizes = np.add.reduceat(self.sizes.astype(np.int64), begins) if len(begins) else begins
         words, sizes = self.joined(sizes)
         whole = (sizes <= SHORT) & ((n_sentences == 1) | self.marked[begins + n_sentences - 1])
         return words[np.repeat(whole, sizes)], sizes[whole], self.texts[begins][whole] // self.columns
 
 
+def packed(x: object) -> bytes:
+    data = pickle.dumps(x, pickle.HIGHEST_PROTOCOL)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator:
+    """The objects that the rows of a binary column are."""
+    for b in batches:
+        for row in b.column(0):
+            data = row.as_buffer()
+            yield pickle.loads(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd"))
+
+
 def _portions(records: Iterable[tuple]) -> Iterator[list[tuple]]:
     """The records in portions of about SCANNED characters."""
     some, size = [], 0
@@ -279,6 +385,21 @@ def _counted_grams(numbers: np.ndarray, place: np.ndarray, counts: np.ndarray, f
     return distinct, times, at_end
 
 
+def scanned(records: DataFrame, scan: type[Scanned] = Scanned) -> DataFrame:
+    """The records, scanned and written: a number for each first text, and the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for some in _portions(zip(*(c.to_pylist() for c in b.columns[1:]))):
+                found = scan(some)
+                found.asked = b.column(0).slice(at, len(some)).to_numpy()
+                at += len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([packed(found)], pa.binary())], ["scanned"])
+
+    return checkpointed(records.mapInArrow(run, "scanned binary"))
+
+
 class Endings:
     """How often a sentence ends after given words, fitted on records of other texts and the text asked about.
 
@@ -287,16 +408,19 @@ class Endings:
     """
 
     def __init__(self, records: list[tuple]):
+        scans = [Scanned(some) for some in _portions(records)]
         said: Counter[str] = Counter()
-        for some in self._said(iter([records])):
-            said.update(some)
-        n_records = said.pop(None)
-        self._know(said, n_records)
+        for scan in scans:
+            for word, n, _ in zip(*self._said(scan)):
+                said[word] += n
+        self._know(said, len(records))
         grams, asked = [], {}
-        for counted, values, rows in self._masked(iter([records])):
+        for scan in scans:
+            counted, values, rows = self._masked(scan)
             grams.append(counted)
-            for v, r in zip(values.tolist(), rows):
-                asked.setdefault(v, set()).add(r[0])
+            for v, r in zip(values.tolist(), rows.tolist()):
+                asked.setdefault(v, set()).add(records[r][0])
+            records = records[scan.n_records :]
         codes, times, final = map(np.concatenate, zip(*grams)) if grams else np.empty((3, 0), np.uint64)
         distinct, where = np.unique(codes, return_inverse=True)
         self._keep(distinct, *(np.bincount(where, x, len(distinct)).astype(np.int64) for x in (times, final)))
@@ -305,31 +429,38 @@ class Endings:
 
     @classmethod
     def counted(cls, records: DataFrame, columns: list[str]) -> Endings:
-        """The same of all records of a table: two scans, in which tasks count and the counts are added up by word and by n-gram."""
-        model = cls.__new__(cls)
-        texts = records.select(*columns)
+        """The same of all records of a table, which are read once."""
+        return cls.of(scanned(records.select(F.xxhash64(columns[0]).alias("asked"), *columns)))
 
-        def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple]]:
-            return (zip(*(c.to_pylist() for c in b.columns)) for b in batches)
+    @classmethod
+    def of(cls, scans: DataFrame) -> Endings:
+        """The same of scanned records: tasks count, and the counts are added up by word and by n-gram."""
+        model = cls.__new__(cls)
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for some in cls._said(rows_of(batches)):
-                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], ["word", "n"])
+            for scan in unpacked(batches):
+                word, n, all_ = cls._said(scan)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *word], pa.string()), pa.array([scan.n_records, *n], pa.int64()), pa.array([0, *all_], pa.int64())], ["word", "n", "all_"])
 
-        said = checkpointed(texts.mapInArrow(words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(f"word IS NULL OR n > {SEEN_WORD}"))
+        said = scans.mapInArrow(words, "word string, n bigint, all_ bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("all_").alias("all_"))
+        said = checkpointed(said.where(f"word IS NULL OR n > {SEEN_WORD} OR all_ > {SEEN_WORD}"))
         n_records = said.where("word IS NULL").agg(F.sum("n")).first()[0] or 0
-        often = said.where(F.col("word").isNotNull() & (F.col("n") > SEEN_WORD * max(1.0, n_records / PER_ROWS))).toArrow()
-        model._know(dict(zip(often["word"].to_pylist(), often["n"].to_pylist())), n_records)
+        least = SEEN_WORD * max(1.0, n_records / PER_ROWS)
+        often = said.where(F.col("word").isNotNull() & ((F.col("n") > least) | (F.col("all_") > least))).toArrow()
+        often = [often[c].to_pylist() for c in ("word", "n", "all_")]
+        model._know({w: n for w, n, _ in zip(*often) if n > least}, n_records)
+        #: how often words occur in all texts, names not joined
+        model.all = {w: n for w, _, n in zip(*often) if n > least}
 
         def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for (codes, times, final), values, rows in model._masked(rows_of(batches), asked=True):
-                nothing, asked = pa.nulls(len(codes), pa.int64()), pa.array([r[0] for r in rows], pa.int64())
+            for scan in unpacked(batches):
+                (codes, times, final), values, rows = model._masked(scan)
+                nothing, asked = pa.nulls(len(codes), pa.int64()), pa.array(scan.asked[rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(times), pa.array(final), nothing], ["code", "n", "final", "asked"])
                 nothing = pa.nulls(len(values), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), nothing, nothing, asked], ["code", "n", "final", "asked"])
 
-        known = records.select(F.xxhash64(columns[0]).alias("__asked"), *columns)
-        found = known.mapInArrow(grams, "code bigint, n bigint, final bigint, asked bigint").groupBy("code", "asked").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
+        found = scans.mapInArrow(grams, "code bigint, n bigint, final bigint, asked bigint").groupBy("code", "asked").agg(F.sum("n").alias("n"), F.sum("final").alias("final"))
         # what occurs once tells nothing that shorter contexts don't
         found = checkpointed(found.where("asked IS NOT NULL OR n > 1 OR code & 3 = 0"))
         kept = found.where("asked IS NULL").select("code", "n", "final").toArrow()
@@ -339,41 +470,18 @@ class Endings:
         return model
 
     @staticmethod
-    def _said(batches: Iterator[Iterable[tuple]]) -> Iterator[dict[str | None, int]]:
-        """How often words occur in sentences, and under None the number of records; in parts."""
-        n, met, total = 0, Met(), np.empty(0, np.int64)
-
-        def by_word() -> Counter:
-            out: Counter = Counter()
-            strings = list(met)
-            for i in np.flatnonzero(total).tolist():
-                out[strings[i].lower()] += int(total[i])
-            return out
-
-        for some in _portions(r for b in batches for r in b):
-            n += len(some)
-            more = Scanned(some, met).said()
-            more[: len(total)] += total
-            total = more
-            if len(met) >= REMEMBERED:
-                yield by_word()
-                met, total = Met(), np.empty(0, np.int64)
-        yield {None: n, **by_word()}
-
-    def _masked(self, batches: Iterator[Iterable[tuple]], asked: bool = False) -> Iterator[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, list[tuple]]]:
-        """The n-grams of the sentences, counted; the forms of the short whole texts, and the record of each. In parts.
-
-        asked says whether a number comes before the texts of each record.
-        """
-        met, numbers = Met(), np.empty(0, np.uint64)
-        for some in _portions(r for b in batches for r in b):
-            scanned = Scanned([r[asked:] for r in some], met)
-            numbers = np.append(numbers, np.array([self.mask(w) for w in list(met)[len(numbers) :]], np.uint64))
-            words, sizes = scanned.joined(scanned.sizes)
-            values, rows = self._values(scanned, numbers)
-            yield self._grams(scanned, numbers[words], sizes), values, [some[i] for i in rows.tolist()]
-            if len(met) >= REMEMBERED:
-                met, numbers = Met(), np.empty(0, np.uint64)
+    def _said(scan: Scanned) -> tuple[list[str], list[int], list[int]]:
+        """The words in small letters, how often they occur in sentences, names joined, and how often in all."""
+        strings, tokens, small = scan.tokens()
+        n = np.bincount(small, scan.said(), len(strings)).astype(np.int64)
+        return strings, n.tolist(), np.bincount(tokens, minlength=len(strings)).tolist()
+
+    def _masked(self, scan: Scanned) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """The n-grams of the sentences, counted; the forms of the short whole texts, and the record of each."""
+        numbers = np.array([self.mask(w) for w in scan.strings], np.uint64)
+        words, sizes = scan.joined(scan.sizes)
+        values, rows = self._values(scan, numbers)
+        return self._grams(scan, numbers[words], sizes), values, rows
 
     def _know(self, words: dict[str, int], n_records: int) -> None:
         """Which words stand for themselves, and the beginnings of these that are no words; words are those beyond SEEN_WORD times."""
@@ -500,8 +608,10 @@ class Limits:
 
 
 def has_no_end(text: str) -> Column:
-    """Whether a text has no end mark, or a mark of omission."""
-    return ~F.col(text).rlike(ENDED) | F.col(text).rlike(OMITTED)
+    """Whether a text has no end mark, or a mark of omission: ENDED and OMITTED, searched only where the last characters leave it open."""
+    last = F.right(text, F.lit(1))
+    told = F.when(last.isin(*".!?") & (F.right(text, F.lit(2)) != F.concat(last, last)), False).when(last.rlike("[\\p{L}\\p{N},;:]"), True)
+    return told.otherwise(~F.col(text).rlike(ENDED) | F.col(text).rlike(OMITTED))
 
 
 def with_copy_key(records: DataFrame, text: str, question: str) -> DataFrame:
@@ -510,7 +620,7 @@ def with_copy_key(records: DataFrame, text: str, question: str) -> DataFrame:
     def folded(c: str) -> Column:
         return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\s\\p{Z}\\p{P}\\p{C}]+", "")
 
-    short = F.size(F.split(F.trim(text), "[\\s\\p{Z}]+")) < COPIED
+    short = ~F.trim(text).rlike(f"^(?:[^\\s\\p{{Z}}]*+[\\s\\p{{Z}}]++){{{COPIED - 1}}}")
     own = records.withColumn("__own", F.concat(folded(text), F.when(short, F.concat(F.lit("\x01"), folded(question))).otherwise("")))
     return own.withColumns({"a": F.xxhash64("__own"), "b": F.hash("__own")}).drop("__own")
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tempfile
 import unicodedata
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import catalog, copies, pairs
+from gradeloom.llm import catalog, copies, pairs, truncation
 from gradeloom.llm.copies import copy_groups, further_copies
 from gradeloom.llm.pairs import REFUSALS, Pairs, defects, is_filler
 from gradeloom.llm.plain_text import not_plain, plain_columns
@@ -285,5 +286,42 @@ def test_the_field_is_fitted_on_all_records(spark, monkeypatch):
         assert (field.features == want.features).all() and np.allclose(field.emit, want.emit, atol=1e-6) and np.allclose(field.move, want.move, atol=1e-6)
 
 
+def test_texts_are_read_twice_and_cut_into_words_once(spark, tmp_path):
+    df, _ = _answers(spark, rows=200)
+    df, folder = df.coalesce(1), str(tmp_path)
+
+    def seen(batches):
+        tempfile.mkstemp(dir=folder)
+        yield from batches
+
+    read = df.mapInArrow(seen, df.schema)
+    assert {r["row_id"]: r["defect"] for r in defects(read).collect()} == {r["row_id"]: r["defect"] for r in defects(df).collect()}
+    assert len(list(tmp_path.iterdir())) == 2  # lengths, and words
+
+
+def test_words_in_arrays_are_those_of_the_patterns():
+    rng = random.Random(3)
+    alphabet = "ab Zé.?!,,..  \n\t\"'”»)]12٣½²_\0。！３ßЖa-—😀𝟙中文"
+    records = [tuple(None if rng.random() < 0.05 else "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(4)) for _ in range(3000)]
+    scan = truncation.Scanned(records)
+    texts = [truncation._readable(t).replace("\0", "\1") if t else "" for r in records for t in r]
+    text = truncation._TEXT_END.join(texts) + truncation._TEXT_END
+    assert [scan.strings[i] for i in scan.words.tolist()] == [w for w in truncation._SCAN.findall(text) if w[0] not in ".!?。！？．\0"]
+    strings, tokens, _ = scan.tokens()
+    assert [strings[i] for i in tokens.tolist()] == [w.lower() for t in texts for w in truncation._TOKEN.findall(t)]
+
+
+def test_features_that_stand_together_add_up_to_the_same():
+    rng = np.random.default_rng(1)
+    lists = [np.sort(np.concatenate([rng.choice(40, 5), np.arange(40, 40 + rng.integers(0, 12))])).astype(np.int32) for _ in range(3000)]
+    data, ends = b"".join(x.tobytes() for x in lists), np.cumsum([len(x) for x in lists])
+    part, emit, off = pairs._Part(data, ends - [len(x) for x in lists], ends, 60), rng.normal(size=(5, 60)), rng.normal(size=(5, 3000))
+    assert part.joined and np.allclose(part.scores(emit), np.stack([emit[:, x].sum(1) for x in lists], 1))
+    want = np.zeros((5, 60))
+    for i, x in enumerate(lists):
+        np.add.at(want.T, x, off[:, i])
+    assert np.allclose(part.spread(off, 60), want)
+
+
 def test_names():
     assert {f"p{n}_found" for n in (1, 2, 4, 5, 7, 9)} <= set(catalog.QUERIES) and "p8_mixture" in catalog.QUERIES and set(catalog.ORACLES) <= set(catalog.QUERIES)
